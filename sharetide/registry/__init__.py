@@ -48,4 +48,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from sharetide.registry import cleaning, forecasts, market, reports  # noqa: F401
+    from sharetide.registry import cleaning, forecasts, market, reports, storage, streams  # noqa: F401
