@@ -123,7 +123,8 @@ def write_layers(run: WeeklyRun, root: str) -> dict[str, DataFrame]:
     spark = run.raw.sparkSession
     stored = {}
     for name, df in layers(run).items():
-        write_table(df, f"{root}/{name}", by_week=name in (CLEAN_TABLE, GOLD_TABLE, ALERT_TABLE))
+        small = name in (GOLD_TABLE, ALERT_TABLE)
+        write_table(df, f"{root}/{name}", weekly=small or name == CLEAN_TABLE, small=small)
         stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}").select(*df.columns)
     return stored
 

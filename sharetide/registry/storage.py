@@ -106,8 +106,8 @@ def _(spark, sf):
     root = fresh_path(spark, "store")
     facts = stage(st.facts(spark, sf), "facts")
     detected = stage(gold_from_clean(facts), "gold")
-    for name, df in (("prescriptions_clean", facts), ("market_share_gold", detected)):
-        sinks.write_table(df, f"{root}/{name}")
+    sinks.write_table(facts, f"{root}/{sinks.CLEAN_TABLE}", weekly=False)
+    sinks.write_table(detected, f"{root}/{sinks.GOLD_TABLE}", small=True)
     return load_or_compute(spark, root, lambda: {})["gold"].select(*detected.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sharetide.functions.numbers import flag
 from sharetide.schemas import CLEAN_STORE, GOLD_KEYS, RAW_STORE, conform
+from sharetide.session import spread
 
 RAW_TABLE = "prescriptions_raw"
 CLEAN_TABLE = "prescriptions_clean"
@@ -17,11 +18,20 @@ GOLD_TABLE = "market_share_gold"
 ALERT_TABLE = "threshold_alerts"
 
 
-def write_table(df: DataFrame, path: str, by_week: bool = True) -> None:
-    """Replace the table.  Rows are gathered by week first so a week is a few files, not one per
-    task; the rebalance hint lets Spark split a week that is too big for one file."""
-    if by_week:
-        df.hint("rebalance", "year_week").write.mode("overwrite").partitionBy("year_week").parquet(path)
+def by_week(df: DataFrame, small: bool = False) -> DataFrame:
+    """Bring the rows of a week together, so that a week is a few files and not one per task.
+
+    Row-level tables are rebalanced: Spark splits a week that is too big for one file.  For
+    ``small`` tables (one row per region and brand and week) a plain hash by week is enough,
+    and keeps all tasks busy.
+    """
+    return spread(df, "year_week") if small else df.hint("rebalance", "year_week")
+
+
+def write_table(df: DataFrame, path: str, weekly: bool = True, small: bool = False) -> None:
+    """Replace the table, partitioned by week unless told otherwise."""
+    if weekly:
+        by_week(df, small).write.mode("overwrite").partitionBy("year_week").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
@@ -94,11 +104,11 @@ def replace_weeks(existing: DataFrame, delivered: DataFrame, week: str = "year_w
     return existing.join(weeks, week, "left_anti").unionByName(delivered, allowMissingColumns=True)
 
 
-def overwrite_weeks(delivered: DataFrame, path: str) -> None:
+def overwrite_weeks(delivered: DataFrame, path: str, small: bool = False) -> None:
     """Replace only the delivered weeks of a stored table: other partitions are not touched,
     and repeating the call changes nothing."""
     (
-        delivered.hint("rebalance", "year_week")
+        by_week(delivered, small)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year_week")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -53,9 +54,12 @@ def batch_path(root: str, name: str, batch_id: int) -> str:
     return f"{root}/{name}/batch_id={batch_id}"
 
 
-def write_batch(df: DataFrame, root: str, name: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, root: str, name: str, batch_id: int, *partition_by: str) -> None:
     """Write one batch's output under its own number; a replay overwrites the same folder."""
-    df.write.mode("overwrite").parquet(batch_path(root, name, batch_id))
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(batch_path(root, name, batch_id))
 
 
 def route(stream: DataFrame, root: str, order: str = "raw_id") -> StreamingQuery:
@@ -80,20 +84,30 @@ def read_output(spark: SparkSession, root: str, name: str, schema: T.StructType
         return None
 
 
-def new_rows(batch: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: str) -> DataFrame:
-    """Rows of the batch that repeat neither an earlier row of the batch nor a stored key."""
+def new_rows(
+    batch: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: str, month: str = "key_month"
+) -> DataFrame:
+    """Rows of the batch that repeat neither an earlier row of the batch nor a stored key.
+
+    ``month`` is a coarse part of the key that the store is partitioned by: only the stored
+    months that occur in the batch are read.
+    """
     first = mark_duplicates(batch, order, keys).filter(~F.col("is_duplicate")).drop("is_duplicate")
     if stored is None:
         return first
-    same = None
+    stored = stored.join(batch.select(month).distinct(), month, "left_semi")
+    same = first[month] == stored[month]
     for k in keys:
-        condition = first[k].eqNullSafe(stored[k])
-        same = condition if same is None else same & condition
+        same = same & first[k].eqNullSafe(stored[k])
     return first.join(stored, same, "left_anti")
 
 
 def dedupe_stream(
-    stream: DataFrame, root: str, keys: Sequence[str] = DUPLICATE_KEYS, order: str = "raw_id"
+    stream: DataFrame,
+    root: str,
+    keys: Sequence[str] = DUPLICATE_KEYS,
+    order: str = "raw_id",
+    date: str = "iso_date",
 ) -> StreamingQuery:
     """Drop rows already seen in this or in any earlier delivery, without a time limit.
 
@@ -103,10 +117,11 @@ def dedupe_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("key_month", F.coalesce(F.left(date, F.lit(7)), F.lit("none")))
         stored = read_output(spark, root, "rows")
         if stored is not None:
-            stored = stored.filter(F.col("batch_id") < batch_id).select(*keys)
-        write_batch(new_rows(batch, stored, keys, order), root, "rows", batch_id)
+            stored = stored.filter(F.col("batch_id") < batch_id).select(*keys, "key_month")
+        write_batch(new_rows(batch, stored, keys, order), root, "rows", batch_id, "key_month")
 
     return run_batches(stream, f"{root}/_checkpoint", step)
 
@@ -156,8 +171,7 @@ def update_gold(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         facts = to_facts(batch)
-        names = (TOTALS, GOLD, ALERTS)
-        stored = {n: latest_version(spark, root, n, before=batch_id) for n in names}
+        stored = {n: version(spark, root, n, batch_id - 1) for n in (TOTALS, GOLD)}
         if stored[TOTALS] is None:
             from sharetide.operators.share import category_totals
             from sharetide.plans.weekly import gold_from_clean
@@ -174,15 +188,21 @@ def update_gold(
     return run_batches(stream, f"{root}/_checkpoint", step)
 
 
-def latest_version(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
-    """The table as of the last finished batch (before batch ``before``, if given)."""
+def version(spark: SparkSession, root: str, name: str, batch_id: int) -> DataFrame | None:
+    """The table as batch ``batch_id`` left it."""
+    try:
+        return spark.read.parquet(batch_path(root, name, batch_id))
+    except AnalysisException:
+        return None
+
+
+def latest_version(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The table as the newest batch left it; found from the file listing, without a scan."""
     versions = read_output(spark, root, name)
     if versions is None:
         return None
-    if before is not None:
-        versions = versions.filter(F.col("batch_id") < before)
-    newest = versions.agg(F.max("batch_id")).first()[0]
-    return None if newest is None else spark.read.parquet(batch_path(root, name, newest))
+    numbers = [int(n) for f in versions.inputFiles() for n in re.findall(r"/batch_id=(\d+)/", f)]
+    return version(spark, root, name, max(numbers)) if numbers else None
 
 
 def replace_delivered_weeks(stream: DataFrame, root: str, name: str = "facts") -> StreamingQuery:

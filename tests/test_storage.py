@@ -222,9 +222,10 @@ def test_stream_dedupe_across_deliveries_and_replay(spark):
     kept = fs.read_output(spark, root, "rows")
     assert kept.count() == 5 == kept.select("product").distinct().count()
     # The same batch handed in again writes the same rows to the same place.
-    stored = kept.filter("batch_id < 0").select(*DUPLICATE_KEYS)
-    again = fs.new_rows(parts[0], stored, DUPLICATE_KEYS, "raw_id")
-    fs.write_batch(again, root, "rows", 0)
+    first = parts[0].withColumn("key_month", F.lit("2025-01"))
+    stored = kept.filter("batch_id < 0").select(*DUPLICATE_KEYS, "key_month")
+    again = fs.new_rows(first, stored, DUPLICATE_KEYS, "raw_id")
+    fs.write_batch(again, root, "rows", 0, "key_month")
     assert fs.read_output(spark, root, "rows").count() == 5
 
 
