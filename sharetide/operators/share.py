@@ -37,27 +37,38 @@ def _sums() -> list:
     return [F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in MEASURES]
 
 
+def with_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Drop rows that lack a grouping key; Spark would group them together."""
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())
+    return df
+
+
 def category_totals(facts: DataFrame) -> DataFrame:
     """The one pass over the facts: sums by week, region, brand and category.
 
     Brand totals, segment totals and the brand-to-category map are all derived from this small
-    table, so the facts are read, combined on the map side and shuffled once.
+    table, so the facts are read, combined on the map side and shuffled once.  A missing week is
+    dropped by the readers of this table: where the label is derived from a date, testing it
+    here would mean deriving it twice per fact.
     """
     require(facts, *BRAND_KEYS, "clean_therapeutic_area", *MEASURES)
-    keyed = facts.select(*BRAND_KEYS, "clean_therapeutic_area", *MEASURES)
-    for key in BRAND_KEYS:
-        keyed = keyed.filter(F.col(key).isNotNull())
+    keyed = with_keys(
+        facts.select(*BRAND_KEYS, "clean_therapeutic_area", *MEASURES), "clean_region", "clean_brand"
+    )
     return no_nan(keyed, *MEASURES).groupBy(*BRAND_KEYS, "clean_therapeutic_area").agg(*_sums())
 
 
 def brand_totals(totals: DataFrame) -> DataFrame:
-    return totals.groupBy(*BRAND_KEYS).agg(*_sums()).withColumnRenamed("clean_trx", "brand_trx")
+    summed = with_keys(totals, "year_week").groupBy(*BRAND_KEYS).agg(*_sums())
+    return summed.withColumnRenamed("clean_trx", "brand_trx")
 
 
 def segment_totals(totals: DataFrame) -> DataFrame:
     """Week and region totals; every category of the segment counts."""
     return (
-        totals.groupBy(*SEGMENT_KEYS)
+        with_keys(totals, "year_week")
+        .groupBy(*SEGMENT_KEYS)
         .agg(*_sums())
         .withColumnsRenamed({m: m.replace("clean_", "total_segment_") for m in MEASURES})
     )
