@@ -54,12 +54,14 @@ def refresh(
     has one row per week, region, brand and category and so does not grow with the facts.
     """
     delivered = stage(category_totals(delivery), "delivered-totals")
-    totals = replace_weeks(stored_totals, delivered)
+    totals = stage(replace_weeks(stored_totals, delivered), "totals")
     weeks = delivered.select("year_week").distinct()
 
     before = brand_categories(stored_totals, s.on_multi)
     after = brand_categories(totals, s.on_multi)
-    changed = before.exceptAll(after).unionAll(after.exceptAll(before)).select("clean_brand").distinct()
+    sides = before.withColumn("_side", F.lit(1)).unionByName(after.withColumn("_side", F.lit(2)))
+    one_sided = sides.groupBy(*before.columns).agg(F.sum("_side").alias("_sides")).filter("_sides <> 3")
+    changed = stage(one_sided.select("clean_brand").distinct(), "changed-brands")
 
     shares = (
         shares_from_totals(totals, s.on_multi)
