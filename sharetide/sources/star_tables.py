@@ -10,9 +10,6 @@ from sharetide.session import spread_small
 
 EPOCH_YEAR = 1995
 FEED_ALIASES = {"middleeast": "MIDDLE EAST"}
-CATEGORY_OF_TYPE = {
-    "ECONOMY": "A", "SMALL": "A", "MEDIUM": "B", "LARGE": "B", "STANDARD": "C", "PROMO": "C",
-}
 COMPETITIVE_SET = ("ECONOMY", "SMALL", "PROMO")
 
 

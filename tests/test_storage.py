@@ -5,11 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sharetide.config import Settings
 from sharetide.operators import share
-from sharetide.operators.cleaning import DUPLICATE_KEYS, derive_columns, mark_duplicates
+from sharetide.operators.cleaning import DUPLICATE_KEYS, derive_columns
 from sharetide.plans import incremental, weekly
-from sharetide.schemas import FEED_FIELDS, FEED_WITH_ID, GOLD_STORE, conform
+from sharetide.schemas import FEED_FIELDS, GOLD_STORE, conform
 from sharetide.session import fresh_path, stage
 from sharetide.sources import feeds, sinks
 from sharetide.streaming import feed_stream as fs
