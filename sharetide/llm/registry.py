@@ -2,7 +2,10 @@
 
 from sharetide.llm import (  # noqa: F401
     common,
+    op01_packing,
+    op04_chat,
     op07_bpe,
+    op09_quality,
 )
 
 QUERIES, ORACLES = common.QUERIES, common.ORACLES
