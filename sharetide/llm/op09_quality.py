@@ -1,14 +1,17 @@
 """Quality rules as weak supervision (operator 9), in DataFrame functions only.
 
 Each rule votes for good (+1), for bad (-1), or abstains (0).  Expectation-maximisation over the
-counts of vote patterns estimates how often each rule votes what on good and on bad documents, and
-the share of good ones; a document is kept if its posterior probability of being good is 0.5 or more.
+counts of vote patterns estimates how often each rule votes what on good documents and on bad ones, and
+the share of each; a document is kept if its posterior probability of being good is 0.5 or more.  Bad
+documents form one class for each family of faults: faults mostly come alone, so one class for all of them would
+contradict the independence that the estimation rests on, and a fault met alone would pass for good.
 There are at most 3**7 = 2187 patterns however many documents there are.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,8 @@ from sharetide.session import stage
 
 BLANK = r"[\x20\x09-\x0D]+"
 EM_ROUNDS = 12
-PRIOR_GOOD, RIGHT = 0.8, 0.8  # where the estimation starts: share of good documents, accuracy of a vote
+FAULTS = {"symbols": ["symbols"], "shouting": ["shouts", "capitals"], "repetition": ["repeats", "lines"], "shape": ["word_length", "length"]}
+BELIEF = 0.9  # where the estimation starts: certainty that a document is bad if any rule objects, else good
 
 
 def let(value: Column, body) -> Column:
@@ -78,54 +82,64 @@ def measures(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def votes() -> dict[str, Column]:
-    """The rules: each gives +1 below its first limit, -1 above its second, else abstains."""
+    """The rules.  Most only object or abstain: that a text lacks one fault says nothing of the others."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
 
-    def rule(value: Column, good_below: float, bad_above: float) -> Column:
-        return F.when(value > bad_above, -1).when(value <= good_below, 1).otherwise(0)
+    def objection(value: Column, limit: float) -> Column:
+        return F.when(value > limit, -1).otherwise(0)
 
     mean = F.col("word_chars") / words
     return {
-        "symbols": rule(F.col("n_symbols") / words, 0.05, 0.15),
-        "shouts": rule(F.col("n_shouts") / words, 0.10, 0.30),
-        "capitals": rule(F.col("n_upper") / chars, 0.10, 0.25),
-        "repeats": rule(F.col("n_repeat_words") / words, 0.20, 0.40),
-        "lines": rule(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.10, 0.30),
+        "symbols": objection(F.col("n_symbols") / words, 0.15),
+        "shouts": objection(F.col("n_shouts") / words, 0.30),
+        "capitals": objection(F.col("n_upper") / chars, 0.25),
+        "repeats": objection(F.col("n_repeat_words") / words, 0.40),
+        "lines": objection(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.30),
         "word_length": F.when((mean < 2) | (mean > 14), -1).when((mean >= 3) & (mean <= 10), 1).otherwise(0),
         "length": F.when(F.col("n_words") < 20, -1).when(F.col("n_words") >= 80, 1).otherwise(0),
     }
 
 
-def _posterior(rules: list[str], model: dict) -> Column:
-    """Probability of a good document, given its votes."""
+def _posteriors(model: dict) -> dict[str, Column]:
+    """Probability of each class, given the votes."""
 
-    def log_likelihood(kind: str) -> Column:
-        return reduce(lambda a, b: a + b, [F.element_at(F.array(*[F.log(F.lit(p)) for p in model[kind][r]]), F.col(f"v_{r}") + F.lit(2)) for r in rules])
+    def log_joint(kind: str) -> Column:
+        share, chances = model[kind]
+        terms = [F.element_at(F.array(*[F.lit(log(p)) for p in ps]), F.col(f"v_{r}") + 2) for r, ps in chances.items()]
+        return reduce(lambda x, y: x + y, terms, F.lit(log(share)))
 
-    good = F.log(F.lit(model["share"])) + log_likelihood("good")
-    bad = F.log(F.lit(1 - model["share"])) + log_likelihood("bad")
-    return 1 / (1 + F.exp(F.least(bad - good, F.lit(700.0))))
+    joint = {k: log_joint(k) for k in model}
+    top = F.greatest(*joint.values())
+    parts = {k: F.exp(j - top) for k, j in joint.items()}
+    whole = reduce(lambda x, y: x + y, parts.values())
+    return {k: p / whole for k, p in parts.items()}
+
+
+def _first_guess() -> dict[str, Column]:
+    """A document is probably bad in the ways to which any rule objects, and good if none does."""
+    objects = {k: reduce(lambda x, y: x | y, [F.col(f"v_{r}") == -1 for r in rules]).cast("double") for k, rules in FAULTS.items()}
+    ways = reduce(lambda x, y: x + y, objects.values())
+    bad = {k: F.when(ways > 0, BELIEF * o / ways).otherwise((1 - BELIEF) / len(FAULTS)) for k, o in objects.items()}
+    return {"good": F.when(ways > 0, 1 - BELIEF).otherwise(BELIEF)} | bad
 
 
 def fit(patterns: DataFrame, rules: list[str], rounds: int = EM_ROUNDS) -> dict:
-    """Expectation-maximisation over ``patterns`` (v_<rule> columns and ``n``): one small aggregate a round."""
-    model = {
-        "share": PRIOR_GOOD,
-        "good": {r: ((1 - RIGHT) / 2, 0.1, RIGHT) for r in rules},
-        "bad": {r: (0.4, 0.2, 0.4) for r in rules},
-    }
+    """Expectation-maximisation over ``patterns`` (v_<rule> columns and ``n``): one small aggregate a round.
+
+    Returns, by class, its share and by rule the chances of the votes -1, 0, +1.
+    """
+    kinds, model = ["good", *FAULTS], None
     for _ in range(rounds):
-        p = _posterior(rules, model)
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum(F.col("n") * (1 - p)).alias("bad")]
-        for r in rules:
-            for v in (-1, 0, 1):
-                hit = F.when(F.col(f"v_{r}") == v, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * p).alias(f"good_{r}_{v + 1}"), F.sum(hit * (1 - p)).alias(f"bad_{r}_{v + 1}")]
-        s = patterns.agg(*sums).first()
-        if s["good"] is None:
-            break
-        model = {"share": min(max(s["good"] / (s["good"] + s["bad"]), 1e-6), 1 - 1e-6)} | {
-            k: {r: tuple((s[f"{k}_{r}_{v}"] + 1.0) / (s[k] + 3.0) for v in range(3)) for r in rules} for k in ("good", "bad")
+        p = _posteriors(model) if model else _first_guess()
+        weighed = patterns.select(*[f"v_{r}" for r in rules], *[(F.col("n") * p[k]).alias(k) for k in kinds])
+        s = weighed.agg(
+            *[F.sum(k).alias(k) for k in kinds],
+            *[F.sum(F.when(F.col(f"v_{r}") == v, F.col(k))).alias(f"{k}/{r}/{v}") for k in kinds for r in rules for v in (-1, 0, 1)],
+        ).first()
+        total = sum(s[k] or 0.0 for k in kinds)
+        model = {
+            k: (((s[k] or 0.0) + 1) / (total + len(kinds)), {r: [((s[f"{k}/{r}/{v}"] or 0.0) + 0.1) / ((s[k] or 0.0) + 0.3) for v in (-1, 0, 1)] for r in rules})
+            for k in kinds
         }
     return model
 
@@ -141,7 +155,7 @@ def judge(docs: DataFrame, column: str = "text", threshold: float = 0.5) -> Data
     voted = measured.select("*", *[c.alias(f"v_{r}") for r, c in rules.items()])
     patterns = stage(voted.groupBy(*[f"v_{r}" for r in rules]).agg(F.count("*").alias("n")), "patterns")
     model = fit(patterns, list(rules))
-    return voted.withColumn("p_good", _posterior(list(rules), model)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*[f"v_{r}" for r in rules])
+    return voted.withColumn("p_good", _posteriors(model)["good"]).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*[f"v_{r}" for r in rules])
 
 
 @op_query("op9_quality")
