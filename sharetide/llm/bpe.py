@@ -20,7 +20,7 @@ from sharetide.llm.textmath import _BASE, _BYTE, _INVERSE, _power, mix, ragged
 END = b"\xff"  # marks the end of a word in vocabularies with word ends; never a byte of UTF-8
 NONE = 1 << 30
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
-CACHED_WORDS, CACHED_PAIRS = 1 << 20, 1 << 21  # both caches start again when full; no result depends on them
+CACHED_WORDS, CACHED_PAIRS = 1 << 19, 1 << 20  # both caches start again when full; no result depends on them
 
 
 def byte_alphabet() -> dict[str, int]:

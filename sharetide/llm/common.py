@@ -11,8 +11,8 @@ ORACLES: dict[str, str] = {}
 
 # Arrow batches by bytes, not only by rows: long texts would otherwise make batches of any size.
 SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 

@@ -21,7 +21,7 @@ from sharetide.llm.bpe import LETTER, NUMBER, OTHER, SPACE
 from sharetide.llm.common import op_query, public_tokenizer, table
 from sharetide.llm.textmath import pieces
 
-GROUP_TOKENS = 1 << 22  # tokens packed together: about a thousand sequences
+GROUP_TOKENS = 1 << 21  # tokens packed together: about five hundred sequences
 SIMPLE_LIMIT = 0x300  # code points below it are their own normal form
 
 
@@ -206,8 +206,8 @@ def pack_documents(tokens: DataFrame, capacity: int = 4096, key: str = "doc_id",
         for keys, rows in groups(batches):
             lengths = [len(r) // 2 for r in rows]
             packed = pack(lengths, capacity)
-            for a in range(0, len(packed), 2000):
-                part = packed[a : a + 2000]
+            for a in range(0, len(packed), 256):
+                part = packed[a : a + 256]
                 yield pa.RecordBatch.from_pydict(
                     {
                         key: [keys[p[0]] for p in part],
