@@ -5,6 +5,7 @@ from sharetide.llm import (  # noqa: F401
     op01_packing,
     op04_chat,
     op07_bpe,
+    op08_langid,
     op09_quality,
 )
 
