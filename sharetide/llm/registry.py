@@ -8,6 +8,7 @@ from sharetide.llm import (  # noqa: F401
     op07_bpe,
     op08_langid,
     op09_quality,
+    op10_suffix,
 )
 
 QUERIES, ORACLES = common.QUERIES, common.ORACLES
