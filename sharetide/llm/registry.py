@@ -3,6 +3,7 @@
 from sharetide.llm import (  # noqa: F401
     common,
     op01_packing,
+    op02_jaccard,
     op03_substring,
     op04_chat,
     op07_bpe,
