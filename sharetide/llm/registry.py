@@ -6,6 +6,7 @@ from sharetide.llm import (  # noqa: F401
     op02_jaccard,
     op03_substring,
     op04_chat,
+    op05_embeddings,
     op07_bpe,
     op08_langid,
     op09_quality,
