@@ -7,6 +7,7 @@ from sharetide.llm import (  # noqa: F401
     op03_substring,
     op04_chat,
     op05_embeddings,
+    op06_lm,
     op07_bpe,
     op08_langid,
     op09_quality,
