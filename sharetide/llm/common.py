@@ -43,3 +43,15 @@ def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    Its cleaner acts when the driver's JVM drops the plans that own them, which in a small driver heap
+    may take long.  Results never depend on it: finished steps are written tables.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharetide.llm.common import op_query, table
+from sharetide.llm.common import free_shuffles, op_query, table
 from sharetide.llm.graph import components
 from sharetide.llm.seeds import first_words, member_filter
 from sharetide.llm.textmath import Words, inner, mix, pieces, ragged, windows_of, words_of
@@ -87,7 +87,7 @@ def keys_of(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndar
         most = borders[np.minimum(level + 1, len(borders) - 1)] - 1  # largest set of this level
         salt = mix(level.astype(np.uint64) + np.uint64(77))
         differ = 2 * most * (100 - percent) // (100 + percent)
-        parts = np.where(most < SMALL, 0, differ + differ // 4 + 8)
+        parts = np.where(most < SMALL, 0, differ + differ // 8 + 8)
         cut = np.flatnonzero(parts[owner] > 0)
         if len(cut):
             own = owner[cut]
@@ -195,6 +195,9 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
         ids, core, right, size, value = (np.concatenate(x) for x in zip(*held))
+        once = first_words(ids)  # equal sets come from several tasks; the rows are in order of class
+        value = value[ragged((np.cumsum(size) - size)[once], size[once])]
+        ids, core, right, size = ids[once], core[once], right[once], size[once]
         first = np.concatenate(([0], np.cumsum(size)))
         region = Region(value, first, percent)
         region.join(np.flatnonzero(core), np.flatnonzero(right))
@@ -224,19 +227,18 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "class bigint, other bigint, n_links bigint")
 
 
-def _regions(members: DataFrame, sizes: DataFrame, percent: int, limit: int) -> DataFrame:
+def _regions(members: DataFrame, large: DataFrame | None, percent: int, limit: int) -> DataFrame:
     """Rows ``task, class, core, right, shingles``: whole bundles up to ``limit``; larger ones dealt out by pivots.
 
     In a large bundle each class is compared with some pivots; the pivots' rows are repeated for as many
     slices as the bundle has, so no task compares more than ``limit`` classes.  A region that is still too
     large is dealt into blocks of core and other classes, all pairs of which are tasks of their own.
     """
-    split = members.join(sizes, "bundle")
     yes = F.lit(True)
-    whole = split.where(F.col("n") <= limit).select(F.col("bundle").alias("task"), "class", yes.alias("core"), yes.alias("right"), "shingles")
-    large = stage(split.where(F.col("n") > limit).withColumn("slices", F.ceil(F.col("n") / limit).cast("int")), "large")
-    if large.isEmpty():
+    whole = members.select(F.col("bundle").alias("task"), "class", yes.alias("core"), yes.alias("right"), "shingles")
+    if large is None:
         return whole
+    large = large.withColumn("slices", F.ceil(F.col("n") / limit).cast("int"))
     from pyspark.sql import Window
 
     order = Window.partitionBy("bundle").orderBy(F.xxhash64("class", F.lit(9)), "class")
@@ -294,16 +296,22 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
         yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), lists], ["class", "shingles"])
 
     classes = stage(_sets(docs, column, words, class_rows, f"{key} {key_type}, n_shingles bigint, class bigint", key), "classes")
-    by_key = _sets(docs, column, words, key_rows, "seed bigint, class bigint").groupBy("seed").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
+    # Keys are dealt out bare: nearly all are met once, so partial aggregates would only be wider rows.
+    by_key = _sets(docs, column, words, key_rows, "seed bigint, class bigint").repartition("seed").groupBy("seed").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
     by_key = stage(by_key.where("low <> high"), "keys")
+    free_shuffles(docs.sparkSession)
     shared = member_filter(by_key.where("n > 2").select("seed"))
     between = _sets(docs, column, words, shared_key_rows, "seed bigint, class bigint").join(by_key.where("n > 2").select("seed", "low"), "seed").select(F.col("class").alias("a"), F.col("low").alias("b"))
     edges = by_key.select(F.col("high").alias("a"), F.col("low").alias("b")).union(between).distinct()
     bundles = stage(components(edges).select(F.col("v").alias("class"), F.col("root").alias("bundle")), "bundles")
     candidate = member_filter(bundles.select(F.col("class").alias("seed")))
-    members = stage(_sets(docs, column, words, set_rows, "class bigint, shingles array<bigint>").join(bundles, "class").groupBy("class", "bundle").agg(F.first("shingles").alias("shingles")), "members")
-    sizes = bundles.groupBy("bundle").agg(F.count("*").alias("n"))
-    linked = stage(_join_regions(_regions(members, sizes, percent, limit), percent), "links")
+    sized = stage(bundles.join(bundles.groupBy("bundle").agg(F.count("*").alias("n")), "bundle"), "sized")
+    members = _sets(docs, column, words, set_rows, "class bigint, shingles array<bigint>").join(sized, "class")
+    large = None
+    if not sized.where(F.col("n") > limit).isEmpty():
+        large = stage(members.where(F.col("n") > limit).groupBy("class", "bundle", "n").agg(F.first("shingles").alias("shingles")), "large")
+    linked = stage(_join_regions(_regions(members.where(F.col("n") <= limit), large, percent, limit), percent), "links")
+    free_shuffles(docs.sparkSession)
     counts = linked.groupBy("class").agg(F.sum("n_links").alias("n_links"))
     roots = stage(components(linked.select(F.col("class").alias("a"), F.col("other").alias("b"))), "components")
     rows = classes.join(counts, "class", "left").join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
