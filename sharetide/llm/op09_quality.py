@@ -131,14 +131,13 @@ def fit(patterns: DataFrame, rules: list[str], rounds: int = EM_ROUNDS) -> dict:
     kinds, model = ["good", *FAULTS], None
     for _ in range(rounds):
         p = _posteriors(model) if model else _first_guess()
-        weighed = patterns.select(*[f"v_{r}" for r in rules], *[(F.col("n") * p[k]).alias(k) for k in kinds])
-        s = weighed.agg(
-            *[F.sum(k).alias(k) for k in kinds],
-            *[F.sum(F.when(F.col(f"v_{r}") == v, F.col(k))).alias(f"{k}/{r}/{v}") for k in kinds for r in rules for v in (-1, 0, 1)],
-        ).first()
-        total = sum(s[k] or 0.0 for k in kinds)
+        votes_cast = F.posexplode(F.array(*[F.col(f"v_{r}") for r in rules])).alias("rule", "vote")
+        sums = patterns.select(votes_cast, *[(F.col("n") * p[k]).alias(k) for k in kinds]).groupBy("rule", "vote").agg(*[F.sum(k).alias(k) for k in kinds]).collect()
+        s = {f"{k}/{rules[r['rule']]}/{r['vote']}": r[k] for r in sums for k in kinds}
+        s |= {k: sum(r[k] for r in sums if r["rule"] == 0) for k in kinds}
+        total = sum(s[k] for k in kinds)
         model = {
-            k: (((s[k] or 0.0) + 1) / (total + len(kinds)), {r: [((s[f"{k}/{r}/{v}"] or 0.0) + 0.1) / ((s[k] or 0.0) + 0.3) for v in (-1, 0, 1)] for r in rules})
+            k: ((s[k] + 1) / (total + len(kinds)), {r: [(s.get(f"{k}/{r}/{v}", 0.0) + 0.1) / (s[k] + 0.3) for v in (-1, 0, 1)] for r in rules})
             for k in kinds
         }
     return model
