@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 _DIGITS = r"\d+(_\d+)*"
 _PLAIN = r"^[+-]?\d+(\.\d*)?$"
 _FLOAT = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+PLAIN_NUMBER = _FLOAT  # what counts as a number at the edge; a suffix such as 1d does not
 _INFINITE = r"(?i)^[+-]?inf(inity)?$"
 
 

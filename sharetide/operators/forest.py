@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sharetide.config import Settings
@@ -24,6 +24,11 @@ from sharetide.session import spread, stage
 FEATURES = ("clean_trx", "market_share_trx_pct", "share_shift_pp", "momentum_ratio")
 _NODE_SCHEMA = "tree int, node int, feature int, threshold double, lower int, upper int, depth double"
 _HASH_SPAN = 1 << 40
+_ARRAYS = ("feature", "threshold", "lower", "upper", "depth")
+_MODEL_SCHEMA = (
+    "feature array<array<int>>, threshold array<array<double>>, lower array<array<int>>, upper array<array<int>>, "
+    "depth array<array<double>>, sample int, levels int, columns array<string>, offset double"
+)
 
 
 def expected_depth(n: int) -> float:
@@ -117,6 +122,18 @@ class ForestModel:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.label(self.raw_score(df, "_raw"), "_raw")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the model as one row; its size depends on the settings only."""
+        arrays = [getattr(self, n).tolist() for n in _ARRAYS]
+        row = (*arrays, self.sample, self.levels, list(self.columns), float(self.offset))
+        spark.createDataFrame([row], _MODEL_SCHEMA).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ForestModel:
+        r = spark.read.schema(_MODEL_SCHEMA).parquet(path).first()
+        kinds = [np.float64 if n in ("threshold", "depth") else np.int32 for n in _ARRAYS]
+        return cls(*[np.asarray(r[n], k) for n, k in zip(_ARRAYS, kinds)], r["sample"], r["levels"], tuple(r["columns"]), r["offset"])
+
 
 def _hash(keys: Sequence[str], *extra: Column) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys], *extra), F.lit(_HASH_SPAN))
@@ -130,24 +147,23 @@ def fit_forest(
 ) -> ForestModel:
     """Grow the trees.  ``df`` is read twice (count, sample), so hand in a stored table.
 
-    Rows enter a pool by a hash threshold that leaves about ``n_trees * tree_sample`` of them;
-    every tree then takes the ``tree_sample`` pool rows with the smallest hash of (key, tree).
-    Spark applies that rank limit before the shuffle as well.
+    Every tree takes the ``tree_sample`` rows with the smallest hash of (key, tree), whatever their
+    number.  A limit on that hash keeps most other rows from being ranked at all: it leaves a tree
+    ``tree_sample`` rows and ten standard deviations more.  Spark applies the rank limit before the shuffle
+    as well.
     """
     n = df.count()
     if n == 0:
         raise ValueError("an isolation forest needs at least one row")
     sample = min(s.tree_sample, n)
     levels = max(int(np.ceil(np.log2(max(sample, 2)))), 1)
-    wanted = 1.25 * s.n_trees * s.tree_sample
+    share = min(1.0, (sample + 10 * np.sqrt(sample)) / n)
     pool = _features(df, columns).select(*keys, *[f"_x{i}" for i in range(len(columns))])
-    if n > wanted:
-        pool = pool.filter(_hash(keys, F.lit(s.seed)) < int(_HASH_SPAN * wanted / n))
-    rank = F.row_number().over(
-        Window.partitionBy("tree").orderBy(_hash(keys, F.col("tree"), F.lit(s.seed)), *keys)
-    )
+    draw = _hash(keys, F.col("tree"), F.lit(s.seed))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(draw, *keys))
     drawn = (
         pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(s.n_trees - 1))))
+        .filter(draw < int(_HASH_SPAN * share) + 1)
         .withColumn("rank", rank)
         .filter(F.col("rank") <= sample)
         .drop(*keys)

@@ -70,17 +70,21 @@ def trailing_weeks(gold: DataFrame, week: str, brands: Sequence[str], span: int
     to ``week`` are taken, at most the last ``fallback`` weeks.  Ranks run over distinct weeks.
     """
     chosen = gold.filter(F.col("clean_brand").isin(list(brands)) & (F.col("year_week") <= week))
-
-    def newest(df: DataFrame, limit: int) -> DataFrame:
-        return df.select("year_week").distinct().orderBy(F.desc("year_week")).limit(limit)
-
-    known = gold.filter(F.col("year_week") == week).select("year_week").limit(1).isEmpty()
-    weeks = newest(gold.filter(F.col("year_week") <= week), span)
-    if known:
-        weeks = weeks.filter(F.col("year_week") == week)
-    picked = chosen.join(weeks, "year_week", "left_semi")
-    few = picked.select("year_week").distinct().limit(2).count() < 2
-    return chosen.join(newest(chosen, fallback), "year_week", "left_semi") if few else picked
+    newest = Window.orderBy(F.desc("year_week"))
+    every = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row per week: small, whatever the number of series.
+    weeks = (
+        gold.filter(F.col("year_week") <= week)
+        .groupBy("year_week")
+        .agg(F.max(F.col("clean_brand").isin(list(brands)).cast("int")).alias("_has"))
+        .withColumn("_rank", F.row_number().over(newest))
+        .withColumn("_known", F.max((F.col("year_week") == week).cast("int")).over(every))
+        .withColumn("_own_rank", F.sum("_has").over(newest))
+        .withColumn("_near", F.when(F.col("_known") == 1, F.col("_rank") <= span).otherwise(False).cast("int") * F.col("_has"))
+        .withColumn("_count", F.sum("_near").over(every))
+    )
+    used = F.when(F.col("_count") >= 2, F.col("_near") == 1).otherwise((F.col("_has") == 1) & (F.col("_own_rank") <= fallback))
+    return chosen.join(weeks.filter(used).select("year_week"), "year_week", "left_semi")
 
 
 def distinct_brands(gold: DataFrame) -> DataFrame:
@@ -227,11 +231,12 @@ def brand_week_brief(gold: DataFrame, forecast: DataFrame, region: str = ALL_REG
     )
 
 
-def summary_fallback(briefs: DataFrame, column: str = "brief", length: int = 250) -> DataFrame:
-    """Fixed summary text around the first ``length`` characters of a brief."""
+def summary_fallback(briefs: DataFrame, column: str = "brief", length: int | None = None) -> DataFrame:
+    """Fixed summary text around a brief, or around its first ``length`` characters if that is asked for."""
+    context = F.col(column) if length is None else F.left(F.col(column), F.lit(length))
     text = F.concat(
         F.lit("**Commercial Analytics Executive Summary**\n\n- **Context:** "),
-        F.left(F.col(column), F.lit(length)),
+        context,
         F.lit("...\n- **Baseline:** trailing three-week envelope.\n- **Outlook:** four-week forecast."),
     )
     return briefs.withColumn("summary", text)

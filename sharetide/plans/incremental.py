@@ -52,7 +52,10 @@ def refresh(
 
     ``delivery`` holds clean facts.  Segment totals are recomputed from the totals table, which
     has one row per week, region, brand and category and so does not grow with the facts.
+    ``forest`` is the fitted model of the run that made the stored gold table, or None for a run without one.
     """
+    if isinstance(forest, str):
+        raise ValueError("a refresh needs the fitted forest of the stored gold table")
     delivered = stage(category_totals(delivery), "delivered-totals")
     totals = stage(replace_weeks(stored_totals, delivered), "totals")
     weeks = delivered.select("year_week").distinct()

@@ -34,7 +34,7 @@ from sharetide.sources.sinks import (
 
 @dataclass(frozen=True)
 class WeeklyRun:
-    """Tables of one run, all lazy unless the run was asked to stage its layers."""
+    """Tables of one run; all are read from its staged feed."""
 
     raw: DataFrame
     processed: DataFrame
@@ -65,23 +65,23 @@ def weekly_run(
 ) -> WeeklyRun:
     """Build every table of the run.
 
-    Lazy by default: one logical plan that runs when a table is asked for.  With ``staged`` the
-    derived feed, the cleaned rows and the gold table are each written once and read back, so
-    that asking for several tables does not repeat the parsing.
+    The processed feed is written once, apart by verdict, and all tables are read from it: the
+    feed is parsed and its duplicates found once.  With ``staged`` the cleaned rows and
+    the gold table are written too; without, they are worked out whenever a table is asked for.
     """
-    processed = process_feed(raw, s, order, aliases, materialise=staged)
-    cleaned = impute_group_median(valid_rows(processed), order, salts=s.salts, materialise=staged)
+    processed = stage(process_feed(raw, s, order, aliases, materialise=True), "processed", "is_quarantined")
+    cleaned = impute_group_median(valid_rows(processed), order, salts=s.salts, materialise=True)
     if staged:
         cleaned = stage(cleaned, "cleaned")
     summary = dq_summary(processed)
-    shares = market_share(cleaned, brands, s)
+    shares = market_share(cleaned, brands, s, staged)
     shifts = share_shifts(shares)
     detected = gold(shifts, s, forest)
     if staged:
         detected = stage(detected, "gold")
     everything, active = generate_alerts(detected, s)
     return WeeklyRun(
-        raw=raw,
+        raw=processed.select(*raw.columns),
         processed=processed,
         cleaned=cleaned,
         quarantine=quarantine_rows(processed),
@@ -123,24 +123,23 @@ def write_layers(run: WeeklyRun, root: str) -> dict[str, DataFrame]:
     spark = run.raw.sparkSession
     stored = {}
     for name, df in layers(run).items():
-        small = name in (GOLD_TABLE, ALERT_TABLE)
-        write_table(df, f"{root}/{name}", weekly=small or name == CLEAN_TABLE, small=small)
+        write_table(df, f"{root}/{name}", weekly=name in (CLEAN_TABLE, GOLD_TABLE, ALERT_TABLE))
         stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}").select(*df.columns)
     return stored
 
 
 def load_or_compute(
-    spark: SparkSession, root: str, compute, force: bool = False
+    spark: SparkSession, root: str, compute, force: bool = False, s: Settings = Settings()
 ) -> dict[str, DataFrame]:
     """Stored clean, gold and alert tables if clean and gold exist and have rows; otherwise (or
-    when forced) whatever ``compute()`` returns."""
+    when forced) whatever ``compute()`` returns.  Alerts that are not stored are worked out from gold."""
     if not force:
         clean = table_or_none(spark, f"{root}/{CLEAN_TABLE}")
         detected = table_or_none(spark, f"{root}/{GOLD_TABLE}")
         if clean is not None and detected is not None:
             alerts = table_or_none(spark, f"{root}/{ALERT_TABLE}")
             if alerts is None:
-                alerts = generate_alerts(detected)[1].limit(0)
+                alerts = generate_alerts(detected, s)[1]
             return {"cleaned": clean, "gold": detected, "active_alerts": alerts}
     return compute()
 

@@ -189,4 +189,4 @@ def _(spark, sf):
 def _(spark, sf):
     context = F.concat("clean_brand", F.lit(" in "), "clean_region", F.lit(" at "), "year_week", F.lit("; "))
     briefs = gold(spark, sf).select("year_week", "clean_region", "clean_brand", F.repeat(context, 20).alias("brief"))
-    return rollups.summary_fallback(briefs).drop("brief")
+    return rollups.summary_fallback(briefs, length=250).drop("brief")

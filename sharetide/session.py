@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,18 +40,33 @@ def local_session(cores: int | str = "*", app: str = "sharetide", **extra: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
+    """This application's own folder under the one that every executor can reach.
 
-    Only where a session leaves it unset (tests on one machine) a temporary folder is made
-    and recorded in the session, so that later calls agree on it.
+    The root is ``spark.checkpoint.dir``, else the context's checkpoint directory.  Where both are unset a
+    temporary folder serves sessions whose tasks all run on this machine; any other session fails, as
+    a folder of one machine would be out of reach for the rest.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = spark.conf.get("sharetide.local.folder", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sharetide-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("sharetide.local.folder", root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/sharetide-{spark.sparkContext.applicationId}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove everything this application has staged; its owner calls it when the results are stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -67,7 +85,7 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -77,13 +95,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     partition count given by hand is left alone.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input over the cores if its scan has fewer splits than there are cores.
-
-    A small file is one split however many cores wait; a large table has more splits than cores
-    and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

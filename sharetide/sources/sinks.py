@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sharetide.functions.numbers import flag
 from sharetide.schemas import CLEAN_STORE, GOLD_KEYS, RAW_STORE, conform
-from sharetide.session import spread
 
 RAW_TABLE = "prescriptions_raw"
 CLEAN_TABLE = "prescriptions_clean"
@@ -18,20 +17,16 @@ GOLD_TABLE = "market_share_gold"
 ALERT_TABLE = "threshold_alerts"
 
 
-def by_week(df: DataFrame, small: bool = False) -> DataFrame:
-    """Bring the rows of a week together, so that a week is a few files and not one per task.
-
-    Row-level tables are rebalanced: Spark splits a week that is too big for one file.  For
-    ``small`` tables (one row per region and brand and week) a plain hash by week is enough,
-    and keeps all tasks busy.
-    """
-    return spread(df, "year_week") if small else df.hint("rebalance", "year_week")
+def by_week(df: DataFrame) -> DataFrame:
+    """Bring the rows of a week together, so that a week is a few files and not one per task; Spark
+    splits a week that is too big for one file."""
+    return df.hint("rebalance", "year_week")
 
 
-def write_table(df: DataFrame, path: str, weekly: bool = True, small: bool = False) -> None:
+def write_table(df: DataFrame, path: str, weekly: bool = True) -> None:
     """Replace the table, partitioned by week unless told otherwise."""
     if weekly:
-        by_week(df, small).write.mode("overwrite").partitionBy("year_week").parquet(path)
+        by_week(df).write.mode("overwrite").partitionBy("year_week").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
@@ -48,8 +43,8 @@ def export_csv(tables: Mapping[str, DataFrame], root: str) -> DataFrame:
                 for f in df.schema.fields
             ]
         )
-        flat.write.mode("overwrite").option("header", True).csv(f"{root}/{name}.csv")
-        written = spark.read.option("header", True).csv(f"{root}/{name}.csv")
+        flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{root}/{name}.csv")
+        written = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{root}/{name}.csv")
         counted = written.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         summary = counted if summary is None else summary.unionByName(counted)
     return summary
@@ -104,11 +99,11 @@ def replace_weeks(existing: DataFrame, delivered: DataFrame, week: str = "year_w
     return existing.join(weeks, week, "left_anti").unionByName(delivered, allowMissingColumns=True)
 
 
-def overwrite_weeks(delivered: DataFrame, path: str, small: bool = False) -> None:
+def overwrite_weeks(delivered: DataFrame, path: str) -> None:
     """Replace only the delivered weeks of a stored table: other partitions are not touched,
     and repeating the call changes nothing."""
     (
-        by_week(delivered, small)
+        by_week(delivered)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year_week")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharetide.functions.dates import iso_week, iso_year, running_week, year_week
-from sharetide.session import spread_small
 
 EPOCH_YEAR = 1995
 FEED_ALIASES = {"middleeast": "MIDDLE EAST"}
@@ -37,7 +36,7 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate",
     )
-    return spread_small(table(spark, sf_dir, "lineitem").select(*used))
+    return table(spark, sf_dir, "lineitem").select(*used)
 
 
 def _region_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +74,7 @@ def category_of_type() -> Column:
     )
 
 
-def facts_of(lines: DataFrame, brand: str = "p_type", category: str | None = None, chargebacks: bool = False) -> DataFrame:
+def facts_of(lines: DataFrame, brand: str = "p_type", category: str | None = None, chargebacks: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     quantity = F.col("l_quantity")
     if chargebacks:
         quantity = F.when(F.col("l_orderkey") % 61 == 0, -quantity).otherwise(quantity)
@@ -90,6 +89,7 @@ def facts_of(lines: DataFrame, brand: str = "p_type", category: str | None = Non
         F.when(F.col("l_returnflag") == "N", quantity).otherwise(F.lit(0.0)).alias("clean_nrx"),
         F.floor("l_extendedprice").cast("double").alias("clean_units"),
         F.col("l_returnflag"),
+        *keep,
     )
 
 

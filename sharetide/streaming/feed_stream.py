@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,11 +12,15 @@ from pyspark.sql.streaming import StreamingQuery
 from sharetide.config import Settings
 from sharetide.operators.alerts import generate_alerts
 from sharetide.operators.cleaning import DUPLICATE_KEYS, mark_duplicates, storage_clean
+from sharetide.operators.detectors import gold as detect
+from sharetide.operators.share import BRAND_KEYS, category_totals, shares_from_totals
+from sharetide.operators.shift import share_shifts
 from sharetide.plans.incremental import refresh
-from sharetide.schemas import FEED_WITH_ID
+from sharetide.schemas import FEED_WITH_ID, MEASURES
+from sharetide.session import path_exists, stage
 from sharetide.sources.sinks import overwrite_weeks
 
-TOTALS, GOLD, ALERTS = "category_totals", "gold", "alerts"
+TOTALS, GOLD, ALERTS, DELIVERIES = "category_totals", "gold", "alerts", "deliveries"
 
 
 def stream_feed(
@@ -78,10 +80,9 @@ def route(stream: DataFrame, root: str, order: str = "raw_id") -> StreamingQuery
 
 
 def read_output(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame | None:
-    try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(f"{root}/{name}")
-    except AnalysisException:
+    if not path_exists(spark, f"{root}/{name}"):
         return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{root}/{name}")
 
 
 def new_rows(
@@ -117,11 +118,12 @@ def dedupe_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("key_month", F.coalesce(F.left(date, F.lit(7)), F.lit("none")))
+        batch = batch.withColumn("key_month", F.coalesce(F.left(date, F.lit(7)), F.lit("none"))).persist()
         stored = read_output(spark, root, "rows")
         if stored is not None:
             stored = stored.filter(F.col("batch_id") < batch_id).select(*keys, "key_month")
         write_batch(new_rows(batch, stored, keys, order), root, "rows", batch_id, "key_month")
+        batch.unpersist()
 
     return run_batches(stream, f"{root}/_checkpoint", step)
 
@@ -160,23 +162,32 @@ def update_gold(
     to_facts: Callable[[DataFrame], DataFrame],
     s: Settings = Settings(),
     forest=None,
+    delivery: str | None = None,
 ) -> StreamingQuery:
-    """Keep category totals, gold and alerts current, one micro-batch of whole weeks at a time.
+    """Keep category totals, gold and alerts current, one micro-batch at a time.
 
-    Each batch writes a complete new version of the three tables (they are small: one row per
-    week, region and brand) under its batch number, computed from the version before it, so a
+    Each batch writes a new version of the tables (they are small: one row per week, region
+    and brand) under its batch number, computed from the version before it, so a
     replay repeats the same answer and readers never see a half-written table.
+
+    A batch replaces the weeks that it holds.  Batches are cut by files, so name the facts' column that tells
+    ``delivery`` from delivery wherever a week may come in several files: a part of the
+    delivery that is already stored is added to it, another delivery replaces it.  Within a batch the
+    greatest delivery of a week counts.  ``forest`` is None or a fitted model.
     """
+    if isinstance(forest, str):
+        raise ValueError("a stream needs a fitted forest: fit it on stored rows first")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         facts = to_facts(batch)
-        stored = {n: version(spark, root, n, batch_id - 1) for n in (TOTALS, GOLD)}
+        stored = {n: version(spark, root, n, batch_id - 1) for n in (TOTALS, GOLD, *([DELIVERIES] if delivery else []))}
+        if delivery:
+            facts, newest = _one_delivery(stage(facts, "batch-facts"), delivery, stored)
+            write_batch(newest, root, DELIVERIES, batch_id)
         if stored[TOTALS] is None:
-            from sharetide.operators.share import category_totals
-            from sharetide.plans.weekly import gold_from_clean
-
-            totals, gold = category_totals(facts), gold_from_clean(facts, None, s, forest)
+            totals = stage(category_totals(facts), "totals")
+            gold = detect(share_shifts(shares_from_totals(totals, s.on_multi)), s, forest)
         else:
             done = refresh(stored[TOTALS], stored[GOLD], facts, s, forest)
             totals, gold = done.totals, done.gold
@@ -188,25 +199,50 @@ def update_gold(
     return run_batches(stream, f"{root}/_checkpoint", step)
 
 
+def _one_delivery(facts: DataFrame, delivery: str, stored: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame]:
+    """The batch's facts with what is stored of the same deliveries, and the deliveries of all weeks."""
+    newest = facts.filter(F.col("year_week").isNotNull()).groupBy("year_week").agg(F.max(delivery).alias("delivery"))
+    own = facts.withColumnRenamed(delivery, "_from").join(newest, "year_week").filter("_from = delivery")
+    columns = [*BRAND_KEYS, "clean_therapeutic_area", *MEASURES]
+    if stored[DELIVERIES] is None:
+        return own.select(*columns), newest
+    again = newest.join(stored[DELIVERIES], ["year_week", "delivery"], "left_semi").select("year_week")
+    parts = own.select(*columns).unionByName(stored[TOTALS].join(again, "year_week", "left_semi").select(*columns))
+    return parts, stored[DELIVERIES].join(newest, "year_week", "left_anti").unionByName(newest)
+
+
+def versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Batch numbers with a stored version; one directory is listed, no files."""
+    if not path_exists(spark, f"{root}/{name}"):
+        return []
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    names = [f.getPath().getName() for f in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch_id="))
+
+
 def version(spark: SparkSession, root: str, name: str, batch_id: int) -> DataFrame | None:
-    """The table as batch ``batch_id`` left it."""
-    try:
+    """The table as batch ``batch_id`` left it; None only before the first batch of a new store.
+
+    A missing predecessor (removed, moved, or of another checkpoint) is an error, as going on without it
+    would lose the history.
+    """
+    there = versions(spark, root, name)
+    if batch_id in there:
         return spark.read.parquet(batch_path(root, name, batch_id))
-    except AnalysisException:
+    if batch_id < 0 and (not there or there == [0]):  # the first batch, or its replay
         return None
+    raise RuntimeError(f"{root}/{name} lacks version {batch_id} and has {there}: the store and the stream's checkpoint do not belong together")
 
 
 def latest_version(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The table as the newest batch left it; found from the file listing, without a scan."""
-    versions = read_output(spark, root, name)
-    if versions is None:
-        return None
-    numbers = [int(n) for f in versions.inputFiles() for n in re.findall(r"/batch_id=(\d+)/", f)]
-    return version(spark, root, name, max(numbers)) if numbers else None
+    """The table as the newest batch left it."""
+    there = versions(spark, root, name)
+    return version(spark, root, name, there[-1]) if there else None
 
 
 def replace_delivered_weeks(stream: DataFrame, root: str, name: str = "facts") -> StreamingQuery:
-    """Each delivery replaces the weeks it contains in a table partitioned by week."""
+    """Each micro-batch replaces the weeks it contains in a table partitioned by week; hand in files of whole
+    weeks (``update_gold`` with ``delivery`` puts together weeks that come in parts)."""
     return run_batches(
         stream, f"{root}/_checkpoint", lambda batch, _: overwrite_weeks(batch, f"{root}/{name}")
     )

@@ -1,6 +1,7 @@
 """Sources, sinks, the weekly run, the incremental refresh and the streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,14 +125,38 @@ def test_deliveries_are_flattened_and_corrupt_ones_found(spark):
 def test_one_bad_record_refuses_its_batch(spark):
     checked = feeds.validate_records(deliveries(spark), "batch")
     verdict = {r.batch: (r.records, r.bad_records, r.accepted) for r in feeds.batch_verdict(checked, "batch").collect()}
-    assert verdict == {1: (2, 0, True), 2: (2, 1, False), 3: (1, 1, False), 5: (1, 0, True)}
+    assert verdict == {1: (2, 0, True), 2: (2, 1, False), 3: (1, 1, False), 4: (0, 1, False), 5: (1, 0, True)}
     errors = [r.errors for r in checked.filter("size(errors) > 0").orderBy("batch").collect()]
-    assert errors == [["brand"], ["trx"]]
+    assert errors == [["brand"], ["trx"], ["body"]]
     assert {r.batch for r in feeds.accepted_records(deliveries(spark), "batch").collect()} == {1, 5}
 
 
+def test_edge_cases_of_deliveries(spark):
+    def body(label, *records):
+        return json.dumps({"year_week": label, "source_vendor": "v", "records": list(records)})
+
+    rows = [(1, body("2026-W01", dict(RECORD, trx="1d"))), (2, body(None, RECORD)), (3, body("2026-W01")), (4, None), (5, body(" ", RECORD))]
+    checked = feeds.validate_records(spark.createDataFrame(rows, "batch int, body string"), "batch")
+    assert {r.batch: r.errors for r in checked.collect()} == {1: ["trx"], 2: ["year_week"], 3: ["body"], 4: ["body"], 5: ["year_week"]}
+    assert not any(r.accepted for r in feeds.batch_verdict(checked, "batch").collect())
+
+
+def test_ingest_order_follows_files_not_splits(spark, tmp_path):
+    """An older small file before a newer large one: Spark reads the large one first."""
+    header = ",".join(feeds.FEED.fieldNames())
+    for name, n, stamp in (("b-old.csv", 3, 1_000_000), ("a-new.csv", 400, 2_000_000)):
+        lines = [",".join([f"{name[0]}{i}"] + ["x"] * (len(feeds.FEED.fieldNames()) - 1)) for i in range(n)]
+        (tmp_path / name).write_text("\n".join([header, *lines]) + "\n")
+        os.utime(tmp_path / name, (stamp, stamp))
+    first = feeds.FEED.fieldNames()[0]
+    rows = feeds.read_feed_csv(spark, str(tmp_path)).orderBy("raw_id").collect()
+    assert [r.raw_id for r in rows] == list(range(403))
+    assert [r[first] for r in rows] == [f"b{i}" for i in range(3)] + [f"a{i}" for i in range(400)]
+
+
 def test_key_ranges_keep_null_keys_and_bounds(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    assert feeds.read_key_ranges(lambda p: df.filter(p), "k", ["c", "b"]).count() == 4
     assert feeds.read_key_ranges(df, "k", ["c", "b"]).count() == 4
     assert feeds.read_key_ranges(df, "k", []).count() == 4
 
@@ -251,6 +276,85 @@ def test_stream_keeps_gold_and_alerts_current(spark):
     same(fs.latest_version(spark, root, fs.ALERTS), generate_alerts(expected)[1])
 
 
+def test_stream_puts_parts_of_a_week_together_and_replaces_redeliveries(spark):
+    def delivered(facts, name):
+        return facts.withColumn("delivery", F.lit(name))
+
+    whole = make_facts(spark, [1, 2, 3])
+    late = make_facts(spark, [2], bump={(2, "A"): (75.0, "X")})
+    parts = [
+        delivered(whole.filter("year_week <> '2024-W03'"), "1"),
+        delivered(whole.filter("year_week = '2024-W03' AND clean_brand = 'A'"), "2"),
+        delivered(whole.filter("year_week = '2024-W03' AND clean_brand <> 'A'"), "2"),
+        delivered(late, "3"),
+    ]
+    stream = fs.stream_feed(spark, write_files(parts), parts[0].schema, "parquet", files_per_batch=1)
+    root = fresh_path(spark, "parts")
+    fs.update_gold(stream, root, lambda b: b, delivery="delivery").awaitTermination()
+    expected = weekly.gold_from_clean(whole.filter("year_week <> '2024-W02'").unionByName(late))
+    same(fs.latest_version(spark, root, fs.GOLD), expected)
+
+
+def test_a_lost_version_or_a_reset_checkpoint_is_an_error(spark):
+    root = fresh_path(spark, "lost")
+    facts = make_facts(spark, [1])
+    assert fs.version(spark, root, fs.GOLD, -1) is None
+    fs.write_batch(facts, root, fs.GOLD, 0)
+    assert fs.version(spark, root, fs.GOLD, -1) is None  # the first batch, replayed
+    fs.write_batch(facts, root, fs.GOLD, 2)
+    for batch_id in (1, -1):
+        with pytest.raises(RuntimeError):
+            fs.version(spark, root, fs.GOLD, batch_id)
+
+
+def test_fitted_forest_is_stored_and_used_by_the_refresh(spark):
+    from sharetide.operators import detectors, forest
+    from sharetide.operators.share import category_totals, shares_from_totals
+    from sharetide.operators.shift import share_shifts
+    from sharetide.plans.incremental import refresh
+
+    old, new = make_facts(spark, range(1, 9)), make_facts(spark, [9], bump={(9, "A"): (90.0, "X")})
+    totals = category_totals(old)
+    ruled = detectors.rules_only(share_shifts(shares_from_totals(totals)))
+    model, _ = forest.fit_and_score(ruled)
+    path = fresh_path(spark, "forest")
+    model.save(spark, path)
+    loaded = forest.ForestModel.load(spark, path)
+    stored_gold = detectors.combine(loaded.transform(ruled))
+    done = refresh(totals, stored_gold, new, forest=loaded)
+    same(done.gold, weekly.gold_from_clean(old.unionByName(new), forest=model))
+    with pytest.raises(ValueError):
+        refresh(totals, stored_gold, new, forest="fit")
+
+
+def test_weekly_run_modes_agree(spark):
+    raw = feed(spark, *[{"date": f"2025-0{1 + i % 4}-0{1 + i % 7}", "trx": None if i % 5 == 0 else str(i)} for i in range(40)])
+    lazy, staged = weekly.weekly_run(raw), weekly.weekly_run(raw, staged=True)
+    for name, table in lazy.tables().items():
+        same(table, staged.tables()[name])
+
+
+def test_work_folder_is_shared_or_local_only(spark, monkeypatch):
+    from sharetide import session
+
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())
+
+
 def test_week_totals_start_on_monday_with_and_without_watermark(spark):
     rows = spark.createDataFrame([("2024-01-07 23:59:59", "R", "B", 1.0), ("2024-01-08 00:00:00", "R", "B", 2.0)], "t string, clean_region string, clean_brand string, clean_trx double")
     events = rows.withColumn("ts", F.to_timestamp("t"))
