@@ -32,7 +32,7 @@ from sharetide.llm.textmath import Words, inner, mix, pieces, ragged, windows_of
 from sharetide.session import stage
 
 SMALL = 96
-REGION = 3000  # classes joined in one task; larger bundles are dealt out by pivots
+REGION = 6000  # classes joined in one task; larger bundles are dealt out by pivots
 LEAF, PIVOTS = 1024, 8
 COLUMNS = 4096  # shingles multiplied at a time
 BLOCK = 512
@@ -251,7 +251,13 @@ def _regions(members: DataFrame, large: DataFrame | None, percent: int, limit: i
     reach = 2 * (1 - percent / 100) + 1e-6
     placed = near.select("bundle", "class", F.col("away")[0]["p"].alias("own"), F.explode(F.filter("away", lambda a: a["d"] <= F.col("away")[0]["d"] + reach)["p"]).alias("p"))
     placed = stage(placed.withColumn("core", F.col("own") == F.col("p")), "regions")
-    count = placed.groupBy("bundle", "p").agg(F.ceil(F.sum(F.col("core").cast("int")) / limit).alias("cores"), F.ceil(F.count("*") / limit).alias("others"))
+    sizes = stage(placed.groupBy("bundle", "p").agg(F.sum(F.col("core").cast("bigint")).alias("cores"), F.count("*").alias("others")), "region-sizes")
+    # Where the windows hold nearly all of a bundle, dividing it would only repeat its rows: it stays one region.
+    dense = sizes.groupBy("bundle").agg((F.sum(F.col("cores") * F.col("others")) > 0.7 * F.pow(F.sum("cores"), F.lit(2))).alias("dense"))
+    placed = placed.join(dense, "bundle").where(~F.col("dense") | F.col("core")).withColumn("p", F.when(F.col("dense"), 0).otherwise(F.col("p")))
+    count = sizes.join(dense, "bundle").groupBy("bundle", F.when(F.col("dense"), 0).otherwise(F.col("p")).alias("p")).agg(
+        F.ceil(F.sum("cores") / limit).alias("cores"), F.ceil(F.when(F.first("dense"), F.sum("cores")).otherwise(F.sum("others")) / limit).alias("others")
+    )
     chunk = F.xxhash64("class", F.lit(4))
     dealt = placed.join(count.where("cores > 0"), ["bundle", "p"]).select(
         "bundle", "class", "p", "core",
