@@ -21,7 +21,7 @@ from sharetide.llm.textmath import pieces, ragged, text_bytes
 
 PER_LANG = 800  # bound of the training sample: documents of each language, the first by hash
 WINDOW, WIDTHS, FILTERS, EMBED = 200, (2, 3, 4), 16, 8
-EPOCHS, BATCH, RATE = 3, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 3, 300, 64, 0.01  # passes over the sample, and steps, at least
 CHUNK = 2048  # windows scored at a time
 
 _FOLD = np.full(256, 32, np.uint8)  # all that is no letter becomes a space
@@ -135,8 +135,9 @@ def train(windows: np.ndarray, labels: list[str], seed: int = 1) -> ByteNet:
     net, r = ByteNet.fresh(langs, seed), np.random.default_rng(seed)
     y = np.searchsorted(langs, labels)
     m, v, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
-    for _ in range(EPOCHS):
-        order = r.permutation(len(y))
+    epoch = 0
+    while epoch < EPOCHS or step < STEPS:
+        epoch, order = epoch + 1, r.permutation(len(y))
         for a in range(0, len(y), BATCH):
             chosen, step = order[a : a + BATCH], step + 1
             for p, g, m_, v_ in zip(net.parameters(), net.gradients(windows[chosen], y[chosen]), m, v):
