@@ -52,6 +52,9 @@ def free_shuffles(spark: SparkSession) -> None:
     may take long.  Results never depend on it: finished steps are written tables.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second round meets what the cleaner let go after the first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

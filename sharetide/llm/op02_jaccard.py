@@ -175,14 +175,17 @@ class Region:
             self.join(c, a)
         return None
 
-    def leaf(self, core: np.ndarray, all_: np.ndarray) -> None:
+    def leaf(self, core: np.ndarray, all_: np.ndarray, both: bool = False) -> None:
+        """Compare in blocks; with ``both``, links count for the sets of both sides."""
         for x in range(0, len(core), BLOCK):
             for y in range(0, len(all_), 4 * BLOCK):
                 a, b = core[x : x + BLOCK], all_[y : y + 4 * BLOCK]
-                both = self.common(a, b)
-                linked = 100 * both >= self.percent * (self.size[a][:, None] + self.size[b][None] - both)
+                shared = self.common(a, b)
+                linked = 100 * shared >= self.percent * (self.size[a][:, None] + self.size[b][None] - shared)
                 linked[a[:, None] == b[None]] = False
                 self.links[a] += linked.sum(1)
+                if both:
+                    self.links[b] += linked.sum(0)
                 for i in np.flatnonzero(linked.any(1)).tolist():
                     roots = {self.find(j) for j in np.unique(self.root[b[linked[i]]]).tolist()} | {self.find(int(a[i]))}
                     least = min(roots)
@@ -194,15 +197,18 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     """Per class that is core somewhere: ``class``, ``other`` (a class linked to it or itself), ``n_links``."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        ids, core, right, size, value = (np.concatenate(x) for x in zip(*held))
+        ids, core, right, both, size, value = (np.concatenate(x) for x in zip(*held))
         once = first_words(ids)  # equal sets come from several tasks; the rows are in order of class
         value = value[ragged((np.cumsum(size) - size)[once], size[once])]
         ids, core, right, size = ids[once], core[once], right[once], size[once]
         first = np.concatenate(([0], np.cumsum(size)))
         region = Region(value, first, percent)
-        region.join(np.flatnonzero(core), np.flatnonzero(right))
+        if both[0]:  # two blocks of one dense bundle
+            region.leaf(np.flatnonzero(core), np.flatnonzero(right), both=True)
+        else:
+            region.join(np.flatnonzero(core), np.flatnonzero(right))
         roots = np.array([region.find(i) for i in range(len(ids))], np.int64)
-        tell = core | (roots != np.arange(len(ids)))
+        tell = core | (roots != np.arange(len(ids))) | (region.links > 0)
         return pa.RecordBatch.from_arrays([pa.array(ids[tell]), pa.array(ids[roots[tell]]), pa.array(region.links[tell])], ["class", "other", "n_links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,25 +225,22 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
                     yield solve(held)
                     held = []
                 now = task[x]
-                held.append((b.column("class").to_numpy()[x:y], b.column("core").to_numpy(zero_copy_only=False)[x:y], b.column("right").to_numpy(zero_copy_only=False)[x:y], np.diff(at)[x:y], flat[at[x] : at[y]]))
+                held.append((b.column("class").to_numpy()[x:y], *[b.column(c).to_numpy(zero_copy_only=False)[x:y] for c in ("core", "right", "both")], np.diff(at)[x:y], flat[at[x] : at[y]]))
         if held:
             yield solve(held)
 
-    dealt = rows.select("task", "class", "core", "right", "shingles").repartition("task").sortWithinPartitions("task", "class")
+    dealt = rows.select("task", "class", "core", "right", "both", "shingles").repartition("task").sortWithinPartitions("task", "class")
     return dealt.mapInArrow(run, "class bigint, other bigint, n_links bigint")
 
 
-def _regions(members: DataFrame, large: DataFrame | None, percent: int, limit: int) -> DataFrame:
-    """Rows ``task, class, core, right, shingles``: whole bundles up to ``limit``; larger ones dealt out by pivots.
+def _regions(large: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Rows ``task, class, core, right, shingles`` of bundles over ``limit``, dealt out by pivots.
 
     In a large bundle each class is compared with some pivots; the pivots' rows are repeated for as many
     slices as the bundle has, so no task compares more than ``limit`` classes.  A region that is still too
     large is dealt into blocks of core and other classes, all pairs of which are tasks of their own.
     """
     yes = F.lit(True)
-    whole = members.select(F.col("bundle").alias("task"), "class", yes.alias("core"), yes.alias("right"), "shingles")
-    if large is None:
-        return whole
     large = large.withColumn("slices", F.ceil(F.col("n") / limit).cast("int"))
     from pyspark.sql import Window
 
@@ -263,10 +266,15 @@ def _regions(members: DataFrame, large: DataFrame | None, percent: int, limit: i
         "bundle", "class", "p", "core",
         F.pmod(chunk, F.col("cores")).alias("i"), F.pmod(chunk, F.col("others")).alias("j"), "cores", "others",
     )
+    # All of a dense bundle are core, so a pair of its blocks is compared once and counted for both.
+    pairs = dealt.where("p = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cores") - 1))).select(
+        "bundle", "class", F.xxhash64("bundle", F.lit("blocks"), F.least("i", "k"), F.greatest("i", "k")).alias("task"), (F.col("i") <= F.col("k")).alias("core"), (F.col("i") >= F.col("k")).alias("right"), (F.col("i") != F.col("k")).alias("both")
+    )
+    dealt = dealt.where("p > 0")
     as_right = dealt.select("bundle", "class", "p", F.explode(F.sequence(F.lit(0), F.col("cores") - 1)).alias("i"), "j", (F.lit(False)).alias("core"), yes.alias("right"))
     as_core = dealt.where("core").select("bundle", "class", "p", "i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"), yes.alias("core"), F.lit(False).alias("right"))
-    tasks = as_right.unionByName(as_core).groupBy("bundle", "class", F.xxhash64("bundle", "p", "i", "j").alias("task")).agg(F.max("core").alias("core"), F.max("right").alias("right"))
-    return whole.unionByName(tasks.join(large.select("bundle", "class", "shingles"), ["bundle", "class"]).select("task", "class", "core", "right", "shingles"))
+    tasks = as_right.unionByName(as_core).groupBy("bundle", "class", F.xxhash64("bundle", "p", "i", "j").alias("task")).agg(F.max("core").alias("core"), F.max("right").alias("right"), F.lit(False).alias("both")).unionByName(pairs)
+    return tasks.join(large.select("bundle", "class", "shingles"), ["bundle", "class"]).select("task", "class", "core", "right", "both", "shingles")
 
 
 def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text", limit: int = REGION) -> DataFrame:
@@ -294,12 +302,18 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
             hit = shared(r.column(0).to_numpy().view(np.uint64))
             yield r.filter(pa.array(hit))
 
-    def set_rows(b, value, first, ids):
-        wanted = np.flatnonzero(candidate(ids.view(np.uint64)) & (ids != 0))
-        wanted = wanted[np.unique(ids[wanted], return_index=True)[1]]
-        size = np.diff(first)[wanted]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(value[ragged(first[wanted], size)].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), lists], ["class", "shingles"])
+    def members(of: DataFrame) -> DataFrame:
+        """The classes of ``of`` with their sets; copies of a set that come from other tasks included."""
+        candidate = member_filter(of.select(F.col("class").alias("seed")))
+
+        def set_rows(b, value, first, ids):
+            wanted = np.flatnonzero(candidate(ids.view(np.uint64)) & (ids != 0))
+            wanted = wanted[np.unique(ids[wanted], return_index=True)[1]]
+            size = np.diff(first)[wanted]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(value[ragged(first[wanted], size)].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), lists], ["class", "shingles"])
+
+        return _sets(docs, column, words, set_rows, "class bigint, shingles array<bigint>").join(of, "class")
 
     classes = stage(_sets(docs, column, words, class_rows, f"{key} {key_type}, n_shingles bigint, class bigint", key), "classes")
     # Keys are dealt out bare: nearly all are met once, so partial aggregates would only be wider rows.
@@ -310,14 +324,15 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
     between = _sets(docs, column, words, shared_key_rows, "seed bigint, class bigint").join(by_key.where("n > 2").select("seed", "low"), "seed").select(F.col("class").alias("a"), F.col("low").alias("b"))
     edges = by_key.select(F.col("high").alias("a"), F.col("low").alias("b")).union(between).distinct()
     bundles = stage(components(edges).select(F.col("v").alias("class"), F.col("root").alias("bundle")), "bundles")
-    candidate = member_filter(bundles.select(F.col("class").alias("seed")))
     sized = stage(bundles.join(bundles.groupBy("bundle").agg(F.count("*").alias("n")), "bundle"), "sized")
-    members = _sets(docs, column, words, set_rows, "class bigint, shingles array<bigint>").join(sized, "class")
-    large = None
-    if not sized.where(F.col("n") > limit).isEmpty():
-        large = stage(members.where(F.col("n") > limit).groupBy("class", "bundle", "n").agg(F.first("shingles").alias("shingles")), "large")
-    linked = stage(_join_regions(_regions(members.where(F.col("n") <= limit), large, percent, limit), percent), "links")
     free_shuffles(docs.sparkSession)
+    whole = members(sized.where(F.col("n") <= limit)).select(F.col("bundle").alias("task"), "class", F.lit(True).alias("core"), F.lit(True).alias("right"), F.lit(False).alias("both"), "shingles")
+    linked = stage(_join_regions(whole, percent), "links")
+    free_shuffles(docs.sparkSession)
+    if not sized.where(F.col("n") > limit).isEmpty():
+        large = stage(members(sized.where(F.col("n") > limit)).groupBy("class", "bundle", "n").agg(F.first("shingles").alias("shingles")), "large")
+        linked = linked.unionByName(stage(_join_regions(_regions(large, percent, limit), percent), "links"))
+        free_shuffles(docs.sparkSession)
     counts = linked.groupBy("class").agg(F.sum("n_links").alias("n_links"))
     roots = stage(components(linked.select(F.col("class").alias("a"), F.col("other").alias("b"))), "components")
     rows = classes.join(counts, "class", "left").join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
