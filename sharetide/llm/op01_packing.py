@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharetide.llm import bpe
-from sharetide.llm.bpe import LETTER, NUMBER, OTHER, SPACE
+from sharetide.llm.bpe import NUMBER, OTHER, SPACE
 from sharetide.llm.common import op_query, public_tokenizer, table
 from sharetide.llm.textmath import pieces
 
