@@ -36,6 +36,7 @@ REGION = 6000  # classes joined in one task; larger bundles are dealt out by piv
 LEAF, PIVOTS = 1024, 8
 COLUMNS = 4096  # shingles multiplied at a time
 BLOCK = 512
+RARE = 16  # a shingle of so few sets of a region is counted by its pairs, all others by matrix products
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +130,9 @@ class Region:
         owner = np.repeat(np.arange(len(self.size)), self.size)
         _, column, count = np.unique(value, return_inverse=True, return_counts=True)
         shared = count > 1  # a shingle of one set alone meets no other
+        rare = shared & (count <= RARE)
+        self._meet(owner, column, rare[column])
+        shared &= ~rare
         number = np.cumsum(shared) - 1
         keep = shared[column]
         self.owner, self.column, self.width = owner[keep], number[column[keep]], int(shared.sum())
@@ -136,6 +140,22 @@ class Region:
         self.links = np.zeros(len(self.size), np.int64)
         self.root = np.arange(len(self.size))
 
+    def _meet(self, owner: np.ndarray, column: np.ndarray, rare: np.ndarray) -> None:
+        """Numbers of rare shingles that sets have in common, listed for both sets of each pair."""
+        n = len(self.size)
+        order = np.argsort(column[rare], kind="stable")
+        row, kind = owner[rare][order], column[rare][order]
+        codes = [np.zeros(0, np.int64)]
+        for step in range(1, RARE):
+            same = np.flatnonzero(kind[step:] == kind[:-step])
+            if not len(same):
+                break
+            a, b = row[same], row[same + step]
+            codes += [a * n + b, b * n + a]
+        code, self.times = np.unique(np.concatenate(codes), return_counts=True)
+        self.other = code % max(n, 1)
+        self.meets = np.searchsorted(code // max(n, 1), np.arange(n + 1))
+
     def _rows(self, rows: np.ndarray, low: int) -> np.ndarray:
         """Columns low.. of the incidence matrix of some sets."""
         at = ragged(self.begin[rows], self.begin[rows + 1] - self.begin[rows])
@@ -151,6 +171,13 @@ class Region:
         out = np.zeros((len(a), len(b)), np.float32)
         for low in range(0, self.width, COLUMNS):
             out += self._rows(a, low) @ self._rows(b, low).T
+        place = np.full(len(self.size), -1)
+        place[b] = np.arange(len(b))
+        length = self.meets[a + 1] - self.meets[a]
+        at, row = ragged(self.meets[a], length), np.repeat(np.arange(len(a)), length)
+        column = place[self.other[at]]
+        here = column >= 0
+        out[row[here], column[here]] += self.times[at[here]]
         return out
 
     def find(self, i: int) -> int:

@@ -100,27 +100,25 @@ def votes() -> dict[str, Column]:
     }
 
 
-def _posteriors(model: dict) -> dict[str, Column]:
-    """Probability of each class, given the votes."""
+def _posteriors(model: dict) -> Column:
+    """Probabilities of the classes, in their order, given the votes."""
 
     def log_joint(kind: str) -> Column:
         share, chances = model[kind]
         terms = [F.element_at(F.array(*[F.lit(log(p)) for p in ps]), F.col(f"v_{r}") + 2) for r, ps in chances.items()]
         return reduce(lambda x, y: x + y, terms, F.lit(log(share)))
 
-    joint = {k: log_joint(k) for k in model}
-    top = F.greatest(*joint.values())
-    parts = {k: F.exp(j - top) for k, j in joint.items()}
-    whole = reduce(lambda x, y: x + y, parts.values())
-    return {k: p / whole for k, p in parts.items()}
+    joint = F.array(*[log_joint(k) for k in model])
+    parts = let(joint, lambda j: F.transform(j, lambda x: F.exp(x - F.array_max(j))))
+    return let(parts, lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda acc, y: acc + y)))
 
 
-def _first_guess() -> dict[str, Column]:
+def _first_guess() -> Column:
     """A document is probably bad in the ways to which any rule objects, and good if none does."""
     objects = {k: reduce(lambda x, y: x | y, [F.col(f"v_{r}") == -1 for r in rules]).cast("double") for k, rules in FAULTS.items()}
     ways = reduce(lambda x, y: x + y, objects.values())
     bad = {k: F.when(ways > 0, BELIEF * o / ways).otherwise((1 - BELIEF) / len(FAULTS)) for k, o in objects.items()}
-    return {"good": F.when(ways > 0, 1 - BELIEF).otherwise(BELIEF)} | bad
+    return F.array(F.when(ways > 0, 1 - BELIEF).otherwise(BELIEF), *bad.values())
 
 
 def fit(patterns: DataFrame, rules: list[str], rounds: int = EM_ROUNDS) -> dict:
@@ -132,7 +130,7 @@ def fit(patterns: DataFrame, rules: list[str], rounds: int = EM_ROUNDS) -> dict:
     for _ in range(rounds):
         p = _posteriors(model) if model else _first_guess()
         votes_cast = F.posexplode(F.array(*[F.col(f"v_{r}") for r in rules])).alias("rule", "vote")
-        sums = patterns.select(votes_cast, *[(F.col("n") * p[k]).alias(k) for k in kinds]).groupBy("rule", "vote").agg(*[F.sum(k).alias(k) for k in kinds]).collect()
+        sums = patterns.withColumn("p", p).select(votes_cast, *[(F.col("n") * F.col("p")[i]).alias(k) for i, k in enumerate(kinds)]).groupBy("rule", "vote").agg(*[F.sum(k).alias(k) for k in kinds]).collect()
         s = {f"{k}/{rules[r['rule']]}/{r['vote']}": r[k] for r in sums for k in kinds}
         s |= {k: sum(r[k] for r in sums if r["rule"] == 0) for k in kinds}
         total = sum(s[k] for k in kinds)
@@ -154,7 +152,7 @@ def judge(docs: DataFrame, column: str = "text", threshold: float = 0.5) -> Data
     voted = measured.select("*", *[c.alias(f"v_{r}") for r, c in rules.items()])
     patterns = stage(voted.groupBy(*[f"v_{r}" for r in rules]).agg(F.count("*").alias("n")), "patterns")
     model = fit(patterns, list(rules))
-    return voted.withColumn("p_good", _posteriors(model)["good"]).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*[f"v_{r}" for r in rules])
+    return voted.withColumn("p_good", _posteriors(model)[0]).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*[f"v_{r}" for r in rules])
 
 
 @op_query("op9_quality")
