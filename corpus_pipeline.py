@@ -6,6 +6,8 @@ return the columns of the documents table.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,31 +22,47 @@ REPEATED_WORDS = 50
 ORACLE_SQL = None  # networks, estimated rules and packing have no SQL form; tests/llm compares each stage with brute force
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def guarded(step):
+    """Give a stage only the columns of documents under their names, so no other column clashes with its own."""
+
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tuned(spark)
+        other = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+        back = {v: k for k, v in other.items()}
+        return step(spark, docs.withColumnsRenamed(other), sf_dir).withColumnsRenamed(back)
+
+    return run_step
+
+
+@guarded
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt; the network learns from three quarters of the labelled rows.
 
     Null texts, texts without a letter, and texts whose language is uncertain go.
     """
-    tuned(spark)
     net = op08_langid.fit(docs.where(~op08_langid.held_out("doc_id", 4)))
     found = op08_langid.predict(docs, net)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAINTY)).select(*docs.columns)
 
 
+@guarded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules find good.  Rows equal in id and text share their fate."""
-    tuned(spark)
     row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
     kept = op09_quality.judge(docs.select(row.alias("row_key"), "text")).where("kept").select("row_key").distinct()
     return docs.withColumn("row_key", row).join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
+@guarded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id (of equal ids, one row).
 
     Documents without words have no near copies and stay.
     """
-    tuned(spark)
     joined = op02_jaccard.join_similar(docs, NEAR_WORDS, NEAR_PERCENT)
     lead = joined.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     first = stage(docs.join(lead, docs["doc_id"].eqNullSafe(lead["doc_id"]), "left_semi"), "first")
@@ -54,9 +72,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.unionByName(again)
 
 
+@guarded
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document has; those with nothing left go."""
-    tuned(spark)
     cut = op10_suffix.dedup(docs, REPEATED_WORDS)
     changed = F.col("n_removed") > 0
     return cut.where(~changed | (F.col("n_removed") < F.col("n_words"))).select(
@@ -66,6 +84,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, with their ids."""
+    tuned(spark)
     return op01_packing.pack_corpus(docs)
 
 
