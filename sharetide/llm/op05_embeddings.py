@@ -2,9 +2,13 @@
 
 Equal vectors are one node.  A first neighbour graph comes from blocks of nodes that lie next to each other in
 the order of random hyperplane codes.  Each round then joins the neighbours of every node with each other and
-keeps, for each node, the best of all it has met.  Links of at least the limit join nodes into components; lists
-that are full of links are saturated, so lists are enlarged to the whole component, compared in blocks.  An
-audit compares a hashed sample of nodes with all others, and rounds go on until its recall is met.
+keeps, for each node, the best of all it has met.  Nodes compared together are also tied by all their links of at
+least the limit, listed or not (a star for each group, so ties grow with the nodes only); ties make components.
+
+A list full of links is saturated: other links of its node may be hidden behind them.  Lists are then enlarged to the
+whole component, compared in blocks, and the graph is refined again with lists of the best nodes outside the own
+component, until no list outside holds a link.  An audit compares a hashed sample of nodes with all others, and
+rounds go on until its recall is met.
 """
 
 from __future__ import annotations
@@ -59,35 +63,54 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _best(ids: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``keep`` nearest others of each row."""
+def _tied(linked: np.ndarray) -> np.ndarray:
+    """For each row, the first row that it is joined to by links."""
+    label = np.arange(len(linked))
+    while True:
+        least = np.minimum(label, np.where(linked, label[None], len(label)).min(1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _best(ids: np.ndarray, root: np.ndarray, x: np.ndarray, keep: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``keep`` nearest others of each row outside its component, and ties of all rows that links join."""
     s = x @ x.T
-    np.fill_diagonal(s, -2)
+    s[root[:, None] == root[None]] = -2
     keep = min(keep, len(ids) - 1)
     top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-    return np.repeat(ids, keep), ids[top.ravel()], np.take_along_axis(s, top, 1).ravel()
+    c, nbr, near = np.repeat(ids, keep), ids[top.ravel()], np.take_along_axis(s, top, 1).ravel()
+    other = near > -2
+    linked = s >= limit
+    hub = _tied(linked) if linked.any() else np.arange(len(ids))
+    tied = np.flatnonzero(hub != np.arange(len(ids)))
+    return (
+        np.concatenate((c[other], ids[tied])), np.concatenate((nbr[other], ids[hub[tied]])),
+        np.concatenate((near[other], np.ones(len(tied)))), np.repeat([False, True], [int(other.sum()), len(tied)]),
+    )
 
 
-_EDGE = "c bigint, nbr bigint, s double"
+_EDGE = "c bigint, nbr bigint, s double, tie boolean"
 
 
-def _edges(c: np.ndarray, nbr: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c), pa.array(nbr), pa.array(s)], ["c", "nbr", "s"])
+def _edges(c: np.ndarray, nbr: np.ndarray, s: np.ndarray, tie: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c), pa.array(nbr), pa.array(s), pa.array(tie)], ["c", "nbr", "s", "tie"])
 
 
-def first_graph(nodes: DataFrame, seed: int) -> DataFrame:
+def first_graph(nodes: DataFrame, seed: int, limit: float) -> DataFrame:
     """Neighbours met in blocks along the orders of random hyperplane codes; blocks have a fixed size."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim_rows in _by_dimension(b):
-                c, e, dim = dim_rows.column("c"), dim_rows.column("e"), dim_rows.column("dim")[0].as_py()
+                c, root, e, dim = dim_rows.column("c"), dim_rows.column("root"), dim_rows.column("e"), dim_rows.column("dim")[0].as_py()
                 x = _matrix(e, 0, len(c))
                 for t in range(TABLES):
                     planes = np.random.default_rng([seed, t, dim]).normal(size=(dim, BITS))
                     bits = ((x @ planes) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     n = len(c)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t * 100_000 + dim, np.int64)), pa.array(bits), c, e], ["part", "code", "c", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t * 100_000 + dim, np.int64)), pa.array(bits), c, root, e], ["part", "code", "c", "root", "e"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,10 +120,10 @@ def first_graph(nodes: DataFrame, seed: int) -> DataFrame:
                 for a in range(x, y, BLOCK // 2):  # blocks overlap by half
                     z = min(a + BLOCK, y)
                     if z - a > 1:
-                        yield _edges(*_best(b.column("c").to_numpy()[a:z], _matrix(b.column("e"), a, z), LIST))
+                        yield _edges(*_best(b.column("c").to_numpy()[a:z], b.column("root").to_numpy()[a:z], _matrix(b.column("e"), a, z), LIST, limit))
 
     kind = nodes.schema["e"].dataType.simpleString()
-    coded = nodes.select("c", "e", F.size("e").alias("dim")).mapInArrow(code, f"part bigint, code bigint, c bigint, e {kind}")
+    coded = nodes.select("c", "root", "e", F.size("e").alias("dim")).mapInArrow(code, f"part bigint, code bigint, c bigint, root bigint, e {kind}")
     return best_of(coded.repartitionByRange("part", "code").sortWithinPartitions("part", "code", "c").mapInArrow(blocks, _EDGE))
 
 
@@ -110,15 +133,28 @@ def _by_dimension(b: pa.RecordBatch) -> list[pa.RecordBatch]:
 
 
 def best_of(edges: DataFrame, keep: int = LIST) -> DataFrame:
-    met = edges.groupBy("c").agg(F.slice(F.sort_array(F.collect_set(F.struct("s", "nbr")), asc=False), 1, keep).alias("best"))
-    return met.select("c", F.explode("best").alias("b")).select("c", "b.nbr", "b.s")
+    """For each node its ``keep`` best edges, and all its ties."""
+    best = F.slice(F.sort_array(F.collect_set(F.when(~F.col("tie"), F.struct("s", "nbr"))), asc=False), 1, keep)
+    ties = F.collect_set(F.when(F.col("tie"), F.struct(F.lit(1.0).alias("s"), "nbr")))
+    met = edges.groupBy("c").agg(best.alias("best"), ties.alias("ties"))
+    of = lambda name, tie: F.transform(name, lambda x: F.struct(x["nbr"].alias("nbr"), x["s"].alias("s"), F.lit(tie).alias("tie")))
+    return met.select("c", F.explode(F.concat(of("best", False), of("ties", True))).alias("b")).select("c", "b.*")
+
 
+def descend(graph: DataFrame, nodes: DataFrame, limit: float, inside: DataFrame | None = None) -> DataFrame:
+    """One round: every node's neighbours, either way, are compared with each other.
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: every node's neighbours, either way, are compared with each other."""
+    ``inside`` has lists of neighbours in the own component, by which the lists of a component's nodes spread.
+    """
     order = Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))
-    back = graph.select(F.col("nbr").alias("u"), F.col("c").alias("v")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= LIST).drop("n")
-    around = graph.select(F.col("c").alias("u"), F.col("nbr").alias("v")).union(back).union(nodes.select(F.col("c").alias("u"), F.col("c").alias("v"))).distinct()
+
+    def either_way(lists: DataFrame) -> DataFrame:
+        lists = lists.where("NOT tie")
+        back = lists.select(F.col("nbr").alias("u"), F.col("c").alias("v")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= LIST).drop("n")
+        return lists.select(F.col("c").alias("u"), F.col("nbr").alias("v")).union(back)
+
+    around = either_way(graph).union(nodes.select(F.col("c").alias("u"), F.col("c").alias("v")))
+    around = (around if inside is None else around.union(either_way(inside))).distinct()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -126,7 +162,7 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         for t in _groups(batches, "u"):
             if t.num_rows > 1:
                 e = t["e"].combine_chunks() if isinstance(t["e"], pa.ChunkedArray) else t["e"]
-                out.append(_best(t["c"].to_numpy(), _matrix(e, 0, t.num_rows), TOLD))
+                out.append(_best(t["c"].to_numpy(), t["root"].to_numpy(), _matrix(e, 0, t.num_rows), TOLD, limit))
                 size += len(out[-1][0])
             if size > 20_000:
                 yield _edges(*(np.concatenate(x) for x in zip(*out)))
@@ -134,11 +170,38 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         if out:
             yield _edges(*(np.concatenate(x) for x in zip(*out)))
 
-    joined = around.join(nodes.select(F.col("c").alias("v"), "e"), "v").select("u", F.col("v").alias("c"), "e")
+    joined = around.join(nodes.select(F.col("c").alias("v"), "root", "e"), "v").select("u", F.col("v").alias("c"), "root", "e")
     met = joined.repartition("u").sortWithinPartitions("u").mapInArrow(meet, _EDGE)
     return best_of(graph.unionByName(met))
 
 
+def _ties(graph: DataFrame, limit: float, before: DataFrame | None = None) -> DataFrame:
+    """Pairs known to be of one component."""
+    ties = graph.where(F.col("tie") | (F.col("s") >= limit)).select(F.col("c").alias("a"), F.col("nbr").alias("b"))
+    return ties if before is None else before.unionByName(ties)
+
+
+def _components(ties: DataFrame) -> DataFrame:
+    return components(ties).select(F.col("v").alias("c"), "root")
+
+
+def join_outside(nodes: DataFrame, graph: DataFrame, roots: DataFrame, ties: DataFrame, limit: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Components and ties after the search for links that saturated lists hide; each pass joins components or is the last."""
+    full = graph.where("NOT tie").groupBy("c").agg(F.count("*").alias("n"), F.min("s").alias("s")).where((F.col("n") >= LIST) & (F.col("s") >= limit))
+    if full.isEmpty():
+        return roots, ties
+    inside = graph
+    while True:
+        placed = stage(nodes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "placed")
+        outside = stage(first_graph(placed, seed, limit), "outside")
+        for _ in range(2):
+            outside = stage(descend(outside, placed, limit, inside), "outside")
+        if outside.where(F.col("tie") | (F.col("s") >= limit)).isEmpty():
+            return roots, ties
+        ties = _ties(outside, limit, ties)
+        roots = stage(_components(ties), "components")
+
+
 def enlarge(nodes: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     """``c``, ``n_near``: vectors (copies counted) of other nodes linked to c, among all of its component."""
     sizes = member.groupBy("root").agg(F.ceil(F.count("*") / LARGE).alias("blocks"))
@@ -194,13 +257,16 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.9, key: str = "vec_id",
     """
     rows = vectors.select(F.col(key), F.col(column).alias("e"), usable(F.col(column)).alias("ok")).withColumn("c", F.when(F.col("ok"), F.xxhash64(F.transform("e", lambda x: x.cast("double")))))
     nodes = stage(rows.where("ok").groupBy("c").agg(F.first("e").alias("e"), F.count("*").alias("m")), "nodes")
-    graph = None
+    graph = ties = None
     for turn in range(ROUNDS):
-        fresh = first_graph(nodes, turn + 1)
+        apart = nodes.withColumn("root", F.col("c"))
+        fresh = first_graph(apart, turn + 1, limit)
         graph = stage(fresh if graph is None else best_of(graph.unionByName(fresh)), "graph")
         for _ in range(2):
-            graph = stage(descend(graph, nodes), "graph")
-        roots = stage(components(graph.where(F.col("s") >= limit).select(F.col("c").alias("a"), F.col("nbr").alias("b"))).select(F.col("v").alias("c"), "root"), "components")
+            graph = stage(descend(graph, apart, limit), "graph")
+        ties = _ties(graph, limit, ties)
+        roots = stage(_components(ties), "components")
+        roots, ties = join_outside(nodes, graph, roots, ties, limit, turn + 1)
         found = stage(enlarge(nodes, roots, limit), "links")
         if audit(nodes, found, limit) >= RECALL:
             break

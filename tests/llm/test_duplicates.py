@@ -120,6 +120,15 @@ def test_embeddings(llm):
     assert all(got[k][0] <= want[k][0] for k in want)
 
 
+def test_embeddings_of_two_tight_clusters_that_are_linked(llm):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    x, y = np.eye(24)[0], 0.93 * np.eye(24)[0] + np.sqrt(1 - 0.93**2) * np.eye(24)[1]
+    rows = [(i, [float(v) for v in (x if i % 2 else y) + r.normal(size=24) * 0.004]) for i in range(60)]
+    assert near(llm.createDataFrame(rows, "vec_id bigint, embedding array<double>")) == brute.cosine(rows, 0.9)
+
+
 def test_embeddings_of_odd_rows(llm):
     rows = [
         (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0]),
