@@ -7,12 +7,13 @@ least the limit, listed or not (a star for each group, so ties grow with the nod
 
 A list full of links is saturated: other links of its node may be hidden behind them.  Lists are then enlarged to the
 whole component, compared in blocks, and the graph is refined again with lists of the best nodes outside the own
-component, until no list outside holds a link.  An audit compares a hashed sample of nodes with all others, and
-rounds go on until its recall is met.
+component, until no list outside holds a link.  An audit compares a hashed sample of nodes, of components of
+all sizes, with all others; rounds go on until its recall is met, and an error tells if it is not.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ LIST = 10  # neighbours kept for a node while the graph is refined
 TABLES, BITS, BLOCK = 10, 30, 512  # orders of the first graph, hyperplanes of a code, nodes of a block
 TOLD = 4  # neighbours told to a node by one local join
 LARGE = 2048  # nodes of a component compared in one task
-AUDITED, RECALL, ROUNDS = 200, 0.97, 4  # nodes of the audit, recall asked for, and rounds at most
+AUDITED, RECALL, ROUNDS = 200, 0.97, 4  # nodes of the audit for a size of component, recall asked for, and rounds at most
 
 
 def usable(e: Column) -> Column:
@@ -226,33 +227,54 @@ def enlarge(nodes: DataFrame, member: DataFrame, limit: float) -> DataFrame:
     return tasks.repartition("task").sortWithinPartitions("task", "c").mapInArrow(compare, "c bigint, n_near bigint").groupBy("c").agg(F.sum("n_near").alias("n_near"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, limit: float, sample: int = AUDITED) -> float:
-    """Share of the links of a hashed sample of nodes, by brute force against all nodes, that were found."""
-    chosen = nodes.orderBy(F.xxhash64("c", F.lit(11)), "c").limit(sample).select("c", "e", F.size("e").alias("dim")).collect()
-    if not chosen:
+def audit(nodes: DataFrame, roots: DataFrame, found: DataFrame, limit: float, sample: int = AUDITED) -> float:
+    """Share of linked nodes whose links were all found, by brute force of sampled nodes against all nodes.
+
+    About ``sample`` nodes are taken of the components of each size (by powers of two) and count for all of these.
+    Nodes with about as many true links form a class; the share of the worst class is returned, so that no
+    large group covers what small ones lack.
+    """
+    member = nodes.select("c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    sizes = member.groupBy("root").agg(F.floor(F.log2(F.count("*"))).alias("stratum"))
+    strata = stage(member.join(sizes, "root").select("c", "stratum"), "strata")
+    of = {r["stratum"]: r["count"] for r in strata.groupBy("stratum").count().collect()}
+    if not of:
         return 1.0
-    wanted = {d: (np.array([r["c"] for r in chosen if r["dim"] == d]), unit(np.concatenate([r["e"] for r in chosen if r["dim"] == d]), sum(r["dim"] == d for r in chosen))) for d in {r["dim"] for r in chosen}}
+    share = F.create_map(*[F.lit(x) for k, n in of.items() for x in (k, sample / n)])[F.col("stratum")]
+    drawn = strata.where(F.pmod(F.xxhash64("c", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = nodes.join(drawn, "c").select("c", "e", F.size("e").alias("dim"), "stratum").collect()
+    taken = Counter(r["stratum"] for r in chosen)
+    weight = {r["c"]: of[r["stratum"]] / taken[r["stratum"]] for r in chosen}
+    wanted = []  # a few hundred vectors of one length at a time
+    for d in sorted({r["dim"] for r in chosen}):
+        same = [r for r in chosen if r["dim"] == d]
+        for part in (same[a : a + 256] for a in range(0, len(same), 256)):
+            wanted.append((d, np.array([r["c"] for r in part]), unit(np.concatenate([r["e"] for r in part]), len(part))))
+    shared = nodes.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows in _by_dimension(b):
-                d = rows.column("dim")[0].as_py()
-                if d in wanted:
-                    ids, x = wanted[d]
-                    s = x @ _matrix(rows.column("e"), 0, rows.num_rows).T >= limit
-                    s[ids[:, None] == rows.column("c").to_numpy()[None]] = False
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s @ rows.column("m").to_numpy())], ["c", "truth"])
+                d, x, c, m = rows.column("dim")[0].as_py(), _matrix(rows.column("e"), 0, rows.num_rows), rows.column("c").to_numpy(), rows.column("m").to_numpy()
+                for _, ids, y in (w for w in shared.value if w[0] == d):
+                    s = y @ x.T >= limit
+                    s[ids[:, None] == c[None]] = False
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s @ m)], ["c", "truth"])
 
     truth = nodes.select("c", "e", "m", F.size("e").alias("dim")).mapInArrow(count, "c bigint, truth bigint").groupBy("c").agg(F.sum("truth").alias("truth"))
-    r = truth.join(found, "c", "left").agg(F.sum("truth").alias("t"), F.sum(F.coalesce("n_near", F.lit(0))).alias("f")).first()
-    return 1.0 if not r["t"] else r["f"] / r["t"]
+    linked, whole = Counter(), Counter()
+    for r in truth.where("truth > 0").join(found, "c", "left").select("c", "truth", F.coalesce("n_near", F.lit(0)).alias("n")).collect():
+        kind = int(r["truth"]).bit_length()
+        linked[kind] += weight[r["c"]]
+        whole[kind] += weight[r["c"]] * (r["n"] >= r["truth"])
+    return min((whole[k] / n for k, n in linked.items()), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.9, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``key``, ``n_links``, ``component_id`` (least key), ``kept`` for every row; other columns are left behind.
 
     Rows whose vector is null, zero, empty, or has a null or non-finite component link with nothing and are kept.
-    Vectors of different lengths don't link.  Repeated rows are linked copies; the least key of a component is
+    Vectors of different lengths don't link.  An error is raised if the audit is not met.  Repeated rows are linked copies; the least key of a component is
     kept (all rows of it, if keys repeat).  An empty table gives an empty table.
     """
     rows = vectors.select(F.col(key), F.col(column).alias("e"), usable(F.col(column)).alias("ok")).withColumn("c", F.when(F.col("ok"), F.xxhash64(F.transform("e", lambda x: x.cast("double")))))
@@ -268,8 +290,11 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.9, key: str = "vec_id",
         roots = stage(_components(ties), "components")
         roots, ties = join_outside(nodes, graph, roots, ties, limit, turn + 1)
         found = stage(enlarge(nodes, roots, limit), "links")
-        if audit(nodes, found, limit) >= RECALL:
+        recall = audit(nodes, roots, found, limit)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"near_duplicates: after {ROUNDS} rounds all links were found for {recall:.3f} of the linked nodes, not for {RECALL}")
     told = nodes.select("c", "m").join(found, "c", "left").join(roots, "c", "left").select("c", (F.coalesce("n_near", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("root", "c").alias("root"))
     all_rows = rows.select(key, "c").join(told, "c", "left")
     least = all_rows.where("root is not null").groupBy("root").agg(F.min(key).alias("least"))

@@ -129,6 +129,20 @@ def test_embeddings_of_two_tight_clusters_that_are_linked(llm):
     assert near(llm.createDataFrame(rows, "vec_id bigint, embedding array<double>")) == brute.cosine(rows, 0.9)
 
 
+def test_embeddings_audit_sees_small_groups_beside_a_large_one(llm, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(21, 24))
+    rows = [(i, [float(v) for v in centres[max(0, i // 2 - 59)] + r.normal(size=24) * 0.001]) for i in range(160)]
+    df, enlarge = llm.createDataFrame(rows, "vec_id bigint, embedding array<double>"), op05_embeddings.enlarge
+    monkeypatch.setattr(op05_embeddings, "ROUNDS", 1)
+    assert near(df) == brute.cosine(rows, 0.9)
+    monkeypatch.setattr(op05_embeddings, "enlarge", lambda *a: enlarge(*a).where("n_near > 1"))  # all pairs are lost
+    with pytest.raises(RuntimeError, match="linked nodes"):
+        near(df)
+
+
 def test_embeddings_of_odd_rows(llm):
     rows = [
         (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0]),
