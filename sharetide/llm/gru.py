@@ -130,7 +130,7 @@ class Gru:
         return out
 
     def learn(self, passages: np.ndarray, rate: float, least_steps: int, batch: int = 64, seed: int = 0) -> int:
-        """Adam over passages (rows of ids) by truncated backpropagation; returns the number of steps.
+        """Adam over passages (rows of ids, the first only precedes the others) by truncated backpropagation; returns the number of steps.
 
         Windows of ``SPAN`` steps follow each other with the state carried, the gradient is cut between them.
         """
@@ -142,10 +142,10 @@ class Gru:
             order = r.permutation(len(passages))
             for a in range(0, len(order), batch):
                 rows = passages[order[a : a + batch]]
-                before = np.concatenate((np.full((len(rows), 1), self.end, rows.dtype), rows[:, :-1]), 1)
+                before, after = rows[:, :-1], rows[:, 1:]
                 h = np.zeros((len(rows), HIDDEN), np.float32)
-                for b in range(0, rows.shape[1], SPAN):
-                    h, grads = self._window(before[:, b : b + SPAN], rows[:, b : b + SPAN], h)
+                for b in range(0, after.shape[1], SPAN):
+                    h, grads = self._window(before[:, b : b + SPAN], after[:, b : b + SPAN], h)
                     done += 1
                     for k, g in grads.items():
                         m[k] += 0.1 * (g - m[k])
@@ -157,6 +157,7 @@ class Gru:
     def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
         steps, n, kept, states = x.shape[1], HIDDEN, [], []
         for t in range(steps):
+            h = np.where((x[:, t] == self.end)[:, None], np.float32(0), h)  # a text begins
             h, memory = self.step(x[:, t], h)
             kept.append(memory)
             states.append(h)
@@ -175,6 +176,6 @@ class Gru:
             grads["b"] += gate.sum(0)
             through = np.concatenate((dz, dr, dc * r), 1)
             grads["u"] += before.T @ through
-            carry = dh * z + through @ self.p["u"].T
+            carry = np.where((ids == self.end)[:, None], np.float32(0), dh * z + through @ self.p["u"].T)
         size = np.float32(x.size)
         return h, {k: g / size for k, g in grads.items()}

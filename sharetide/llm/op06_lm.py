@@ -4,8 +4,9 @@ Word counts of all training documents are gathered first.  The most frequent wor
 network, all others share one; a word's chance is then the network's chance of that id, times the word's
 smoothed share of the words that have none.  So every text has a proper probability.
 
-The network learns by truncated backpropagation on passages of every training document (``PASSAGES`` of them, at hashed
-places); learners on all partitions start from the same weights and their weights are averaged after each round.
+The network learns by truncated backpropagation on the whole text of every training document: texts follow each other
+with their ends, cut into consecutive passages, each with the word before it; learners on all partitions start from
+the same weights and their weights are averaged after each round.
 Scoring runs over whole texts, with the state carried from window to window.
 """
 
@@ -28,7 +29,7 @@ from sharetide.session import stage
 
 WIDTH, CLASSES = 32, 32  # the network knows WIDTH * CLASSES ids
 KNOWN = 1 << 18  # counts of so many words are sent to all tasks (2 MB of hashes); other words are joined
-PASSAGES, ROUNDS, RATE, STEPS = 2, 3, 0.01, 60
+ROUNDS, RATE, STEPS = 3, 0.01, 60
 PIECE = 4 << 20  # bytes of text scored together
 END = 1  # hash that stands for the end of a text
 
@@ -75,8 +76,16 @@ def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     return Lexicon(top["word"].to_numpy().view(np.uint64), top["c"].to_numpy(), total["n"] + ends, total["v"] + (ends > 0), ends)
 
 
-def train(docs: DataFrame, words: Lexicon, key: str, column: str = "text") -> Gru:
-    """The network, learnt from passages of every document of ``docs``; rounds of local learning and averaging."""
+def passages_of(texts: list[np.ndarray], length: int, end: int) -> np.ndarray:
+    """All texts with their ends, one after the other, in rows of ``length`` ids and the one before; the last is filled with ends."""
+    every = np.concatenate([np.append(t, end) for t in texts]) if texts else np.zeros(0, np.int64)
+    rows = -(-len(every) // length)
+    every = np.concatenate(([end], every, np.full(rows * length - len(every), end))).astype("<u2")
+    return every[np.arange(rows)[:, None] * length + np.arange(length + 1)]
+
+
+def train(docs: DataFrame, words: Lexicon, column: str = "text") -> Gru:
+    """The network, learnt from all words of ``docs``; rounds of local learning and averaging."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(words)
     length = 2 * SPAN
@@ -85,17 +94,10 @@ def train(docs: DataFrame, words: Lexicon, key: str, column: str = "text") -> Gr
         for b in pieces(batches, column):
             w = words_of(b.column(column), True)
             ids, _, _ = shared.value.find(w.hash)
-            place = b.column("place").to_numpy().view(np.uint64)
-            rows = []
-            for i, n in enumerate(w.counts.tolist()):
-                text = np.append(ids[w.first[i] : w.first[i + 1]], 0)
-                for k in range(PASSAGES if n > length else 1):
-                    a = int((int(place[i]) >> (20 * k)) % max(1, len(text) - length + 1))
-                    part = text[a : a + length]
-                    rows.append(np.pad(part, (0, length - len(part))).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
-
-    passages = stage(docs.select(column, F.xxhash64(key, F.lit(21)).alias("place")).mapInArrow(cut, "ids binary").repartition(F.xxhash64("ids")), "passages")
+            text = passages_of([ids[x:y] for x, y in zip(w.first, w.first[1:])], length, shared.value.end)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in text], pa.binary())], ["ids"])
+
+    passages = stage(docs.select(column).mapInArrow(cut, "ids binary").repartition(F.xxhash64("ids")), "passages")
     model = Gru.fresh(words.unigram, WIDTH, words.end)
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
@@ -103,7 +105,7 @@ def train(docs: DataFrame, words: Lexicon, key: str, column: str = "text") -> Gr
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, now=now) -> Iterator[pa.RecordBatch]:
             net, steps = now.value.load(now.value.flat()), 0
             for b in batches:  # at most an Arrow batch of passages in memory
-                mine = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2").astype(np.int32).reshape(-1, length)
+                mine = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2").astype(np.int32).reshape(-1, length + 1)
                 part = mine[turn::ROUNDS] if len(mine) >= 100 * ROUNDS else mine
                 steps += net.learn(part, RATE / (turn + 1), STEPS if not steps else 0, seed=turn)
             if steps:
@@ -175,7 +177,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", column: str = "text",
     ends = teaching.count()
     counts = stage(count_words(teaching, column), "counts")
     words = lexicon(counts, ends)
-    model = train(teaching, words, key, column)
+    model = train(teaching, words, column)
     once = rows.groupBy("row_key").agg(F.count("*").alias("copies"))
     scored = score(rows, counts, words, model, key, column).join(once, "row_key")
     plain = rows.select(key, "row_key", held_out(key, modulus).alias("held_out"))

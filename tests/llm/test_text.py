@@ -169,6 +169,14 @@ def test_language_model(llm, docs, texts):
     assert sum(r.score for r in away) > sum(r.base_score for r in away)
 
 
+def test_language_model_learns_from_every_word():
+    texts = [np.arange(1, 1001), np.arange(0), np.arange(5, 70)]
+    rows = op06_lm.passages_of(texts, 64, 0)
+    words = [w for t in texts for w in [*t.tolist(), 0]]
+    assert rows[:, 1:].ravel().tolist() == words + [0] * (-len(words) % 64)
+    assert rows[:, 0].tolist() == [0, *rows[:-1, -1].tolist()]
+
+
 def test_language_model_of_odd_rows(llm, monkeypatch):
     monkeypatch.setattr(op06_lm, "KNOWN", 2)
     rows = [(1, None), (1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "A b"), (4, "x " * 300), (9, "c\n\td")]
