@@ -142,7 +142,16 @@ def _(spark, sf):
     sql.analytics(f"SELECT {', '.join(_COLUMNS)} FROM facts WHERE year_week <> '2000-W20' OR l_returnflag = 'R'", upto="brands"),
 )
 def _(spark, sf):
-    """Every delivery replaces its weeks: of week 2000-W20 the second part, which came last, is left."""
+    """Without a delivery column every batch replaces its weeks: of week 2000-W20 the second part, which came last, is left."""
     root = fresh_path(spark, "stream-weeks")
     _delivered(spark, sf, lambda stream: fs.replace_delivered_weeks(st.facts_of(stream).select(*_COLUMNS), root))
     return spark.read.parquet(f"{root}/facts").select(*_COLUMNS)
+
+
+@query("stream_replace_delivery", sql.analytics(f"SELECT {', '.join(_COLUMNS)} FROM facts", upto="brands"))
+def _(spark, sf):
+    """Every delivery replaces its weeks, and the two parts of week 2000-W20 are put together."""
+    root = fresh_path(spark, "stream-parts")
+    facts = lambda stream: st.facts_of(stream, keep=("delivery",)).select(*_COLUMNS, "delivery")
+    _delivered(spark, sf, lambda stream: fs.replace_delivered_weeks(facts(stream), root, delivery="delivery"))
+    return spark.read.parquet(f"{root}/facts").select(*_COLUMNS)

@@ -240,9 +240,28 @@ def latest_version(spark: SparkSession, root: str, name: str) -> DataFrame | Non
     return version(spark, root, name, there[-1]) if there else None
 
 
-def replace_delivered_weeks(stream: DataFrame, root: str, name: str = "facts") -> StreamingQuery:
-    """Each micro-batch replaces the weeks it contains in a table partitioned by week; hand in files of whole
-    weeks (``update_gold`` with ``delivery`` puts together weeks that come in parts)."""
-    return run_batches(
-        stream, f"{root}/_checkpoint", lambda batch, _: overwrite_weeks(batch, f"{root}/{name}")
-    )
+def replace_delivered_weeks(stream: DataFrame, root: str, name: str = "facts", delivery: str | None = None) -> StreamingQuery:
+    """Each micro-batch replaces the weeks it contains in a table partitioned by week.
+
+    Batches are cut by files, so name the column that tells ``delivery`` from delivery wherever a week may come in
+    several files: a part of the delivery that is stored is added to the week, another delivery replaces it.
+    Within a batch the greatest delivery of a week counts.  The table then has a column ``batch_id``, by which
+    a replayed batch finds its own rows.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if delivery:
+            batch = stage(_with_stored_parts(batch, read_output(batch.sparkSession, root, name), delivery, batch_id), "week-parts")
+        overwrite_weeks(batch, f"{root}/{name}")
+
+    return run_batches(stream, f"{root}/_checkpoint", step)
+
+
+def _with_stored_parts(batch: DataFrame, stored: DataFrame | None, delivery: str, batch_id: int) -> DataFrame:
+    """The newest delivery of each week of the batch, with what earlier batches stored of the same delivery."""
+    newest = batch.groupBy(F.col("year_week").alias("_week")).agg(F.max(delivery).alias("_newest"))
+    same = F.col("year_week").eqNullSafe(F.col("_week")) & F.col(delivery).eqNullSafe(F.col("_newest"))
+    own = batch.join(newest, same, "left_semi").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    if stored is None:
+        return own
+    return own.unionByName(stored.where(F.col("batch_id") < batch_id).join(newest, same, "left_semi"))

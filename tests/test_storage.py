@@ -295,6 +295,22 @@ def test_stream_puts_parts_of_a_week_together_and_replaces_redeliveries(spark):
     same(fs.latest_version(spark, root, fs.GOLD), expected)
 
 
+def test_stream_of_weeks_puts_parts_together_and_replaces_redeliveries(spark):
+    whole, late = make_facts(spark, [1, 2, 3]), make_facts(spark, [2], bump={(2, "A"): (75.0, "X")})
+    split = whole.filter("year_week = '2024-W03'")
+    parts = [
+        f.withColumn("delivery", F.lit(n))
+        for n, f in (("1", whole.filter("year_week <> '2024-W03'")), ("2", split.filter("clean_brand = 'A'")), ("2", split.filter("clean_brand <> 'A'")), ("3", late))
+    ]
+    stream = fs.stream_feed(spark, write_files(parts), parts[0].schema, "parquet", files_per_batch=1)
+    root = fresh_path(spark, "week-parts")
+    fs.replace_delivered_weeks(stream, root, delivery="delivery").awaitTermination()
+    stored = spark.read.parquet(f"{root}/facts")
+    same(stored.drop("delivery", "batch_id"), whole.filter("year_week <> '2024-W02'").unionByName(late))
+    again = fs._with_stored_parts(parts[2], stored, "delivery", 2)  # a replayed batch
+    same(again.drop("delivery", "batch_id"), split)
+
+
 def test_a_lost_version_or_a_reset_checkpoint_is_an_error(spark):
     root = fresh_path(spark, "lost")
     facts = make_facts(spark, [1])
