@@ -29,7 +29,7 @@ from sharetide.session import stage
 
 WIDTH, CLASSES = 32, 32  # the network knows WIDTH * CLASSES ids
 KNOWN = 1 << 18  # counts of so many words are sent to all tasks (2 MB of hashes); other words are joined
-ROUNDS, RATE, STEPS = 3, 0.01, 60
+ROUNDS, RATE = 3, 0.01
 PIECE = 4 << 20  # bytes of text scored together
 END = 1  # hash that stands for the end of a text
 
@@ -84,6 +84,11 @@ def passages_of(texts: list[np.ndarray], length: int, end: int) -> np.ndarray:
     return every[np.arange(rows)[:, None] * length + np.arange(length + 1)]
 
 
+def learn_once(net: Gru, passages: np.ndarray, turn: int) -> int:
+    """Every passage once, in each round and at every size; returns the number of steps."""
+    return net.learn(passages, RATE / (turn + 1), 0, seed=turn)
+
+
 def train(docs: DataFrame, words: Lexicon, column: str = "text") -> Gru:
     """The network, learnt from all words of ``docs``; rounds of local learning and averaging."""
     spark = docs.sparkSession
@@ -106,8 +111,7 @@ def train(docs: DataFrame, words: Lexicon, column: str = "text") -> Gru:
             net, steps = now.value.load(now.value.flat()), 0
             for b in batches:  # at most an Arrow batch of passages in memory
                 mine = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2").astype(np.int32).reshape(-1, length + 1)
-                part = mine[turn::ROUNDS] if len(mine) >= 100 * ROUNDS else mine
-                steps += net.learn(part, RATE / (turn + 1), STEPS if not steps else 0, seed=turn)
+                steps += learn_once(net, mine, turn)
             if steps:
                 yield pa.RecordBatch.from_arrays([pa.array([net.flat()], pa.list_(pa.float32())), pa.array([float(steps)])], ["weights", "steps"])
 

@@ -177,6 +177,13 @@ def test_language_model_learns_from_every_word():
     assert rows[:, 0].tolist() == [0, *rows[:-1, -1].tolist()]
 
 
+@pytest.mark.parametrize("rows", [1, 64, 640])
+def test_language_model_learns_each_passage_once_a_round(rows):
+    passages = np.random.default_rng(2).integers(0, 64, (rows, 65)).astype(np.int32)
+    for turn in range(op06_lm.ROUNDS):
+        assert op06_lm.learn_once(Gru.fresh(np.arange(1, 65), 8, 0), passages, turn) == 2 * -(-rows // 64)
+
+
 def test_language_model_of_odd_rows(llm, monkeypatch):
     monkeypatch.setattr(op06_lm, "KNOWN", 2)
     rows = [(1, None), (1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "A b"), (4, "x " * 300), (9, "c\n\td")]
