@@ -136,7 +136,7 @@ _RANGES = ("1996-W30", "1998-W01", "1999-W40", "2001-W10")
 def _(spark, sf):
     path = fresh_path(spark, "facts")
     sinks.write_table(st.facts(spark, sf), path)
-    paged = feeds.read_key_ranges(spark.read.parquet(path), "year_week", _RANGES)
+    paged = feeds.read_key_ranges(lambda p: spark.read.parquet(path).filter(p), "year_week", _RANGES)
     return paged.groupBy("year_week", "clean_region").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("clean_trx").alias("clean_trx")
     )

@@ -210,6 +210,19 @@ def test_weekly_run_stores_loads_and_recomputes(spark):
 # --- streams ----------------------------------------------------------------------------------
 
 
+def test_read_paged_reads_the_ranges(spark, monkeypatch):
+    from sharetide import registry
+
+    asked, read = [], feeds.read_key_ranges
+
+    def noted(source, key, bounds):
+        return read(lambda p: (asked.append(p), source(p))[1], key, bounds)
+
+    monkeypatch.setattr(feeds, "read_key_ranges", noted)
+    registry.QUERIES["read_paged"](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 5 and "IS NULL" in asked[0]
+
+
 def write_files(batches, fmt="parquet"):
     """One file per batch, in order."""
     spark = batches[0].sparkSession
