@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from sharetide.config import Settings
 from sharetide.operators import alerts, detectors, forest, quantile, rollups, share, shift
 from sharetide.plans.weekly import gold_from_clean

@@ -9,8 +9,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
 from oracle import compare, connect
+from paths import SF_SMALL
 from sharetide import registry
 
 NAMES = set(registry.QUERIES)  # the training-text queries have tests of their own
