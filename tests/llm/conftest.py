@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SMALL = "/root/testdata/sf0.001"
+from small import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

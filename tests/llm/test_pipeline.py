@@ -2,7 +2,7 @@
 
 import brute
 import corpus_pipeline as pipeline
-from conftest import SMALL
+from small import SMALL
 from pyspark.sql import functions as F
 
 from sharetide.session import stage

@@ -6,7 +6,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import SMALL
+from small import SMALL
 from pyspark.sql import functions as F
 
 from sharetide.llm import bpe, op01_packing, op04_chat, op06_lm, op07_bpe, op08_langid, op09_quality
