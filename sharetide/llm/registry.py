@@ -12,6 +12,7 @@ from sharetide.llm import (  # noqa: F401
     op08_langid,
     op09_quality,
     op10_suffix,
+    op11_warc,
 )
 
 QUERIES, ORACLES = common.QUERIES, common.ORACLES
