@@ -13,6 +13,7 @@ from sharetide.llm import (  # noqa: F401
     op09_quality,
     op10_suffix,
     op11_warc,
+    op12_variants,
 )
 
 QUERIES, ORACLES = common.QUERIES, common.ORACLES
