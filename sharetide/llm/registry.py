@@ -14,6 +14,7 @@ from sharetide.llm import (  # noqa: F401
     op10_suffix,
     op11_warc,
     op12_variants,
+    op13_alignment,
 )
 
 QUERIES, ORACLES = common.QUERIES, common.ORACLES
