@@ -12,7 +12,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,89 +32,153 @@ from sharetide.session import fresh_path
 
 KNOWN = 1 << 20  # pairs whose counts go to all tasks (17 MB)
 LINKS = 1 << 20  # links expanded at a time
-ID_BITS = 20  # ids of either side lie below 2**20
-
-
-@functools.lru_cache(maxsize=2)
-def piece_model(path: str) -> tuple:
-    """A sentencepiece model and the bytes of each of its pieces."""
-    import sentencepiece
+ID_BITS = 16  # ids of either side lie below 2**16
+PIECE = 1 << 20  # bytes of text aligned at a time
+CACHED, SHORT = 1 << 16, 64  # stretches of at most so many characters are kept, those used last; no result depends on it
+STRETCH = re.compile(r"(?<=\S) (?=\S)")
+LONG_GAP = re.compile(r"\s{1000}")
+
+
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Bytes and ids of a byte-level vocabulary whose ids are in order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet, special = bpe.byte_alphabet(), {t["content"] for t in spec["added_tokens"]}
+    ids = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    made = [ids[b"".join(bytes(alphabet[c] for c in x) for x in (m.split(" ") if isinstance(m, str) else m))] for m in spec["model"]["merges"]]
+    if made != sorted(made):
+        raise ValueError("the vocabulary's ids are not in the order of its merges")
+    return ids
+
+
+class Pair:
+    """Both tokenizers, and what their alignment makes of a stretch of text.
+
+    A single space between two characters that are no white space begins a token on either side, so texts are cut there and
+    each distinct stretch is aligned once.
+    """
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    return model, [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+    def __init__(self, byte_path: str, piece_path: str) -> None:
+        import public_tokenizers
+        import sentencepiece
+        import tiktoken
+
+        self.path, ranks = byte_path, byte_ranks(byte_path)
+        self.a_model = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_size = {i: len(t) for t, i in ranks.items()}
+        self.b_model = model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        if max(len(names), 1 + max(ranks.values())) > 1 << ID_BITS:
+            raise ValueError("a vocabulary has more than 65,536 ids")
+        if any("▁" in p.lstrip("▁") for p in names) or len(model.encode("a b")) != 2 * len(model.encode("a")):
+            raise ValueError("a piece reaches over the space before a word")
+        self.b_text = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+
+    def byte_ids(self, text: str) -> list[int]:
+        """Ids of side A; special tokens' strings are plain text."""
+        if LONG_GAP.search(text):  # deeper than the library's pattern matching goes
+            return _plain_byte_ids(text, self.path)
+        return self.a_model.encode_ordinary(text)
+
+    def align(self, stretches: list[str]) -> dict[str, tuple | None]:
+        """The ids and the ends of groups of both sides, packed, of each stretch; None if the pieces do not give it back."""
+        plain = [x for x in stretches if "▁" not in x and not x[0].isspace() and not x[-1].isspace()]
+        found = self._together(plain) if plain else {}
+        for x in stretches:
+            if x not in found:
+                found[x] = self._tokens(x)[0]
+        return found
+
+    def _tokens(self, text: str) -> tuple[tuple | None, dict[int, int], dict[int, int]]:
+        """The alignment of a text, and its tokens by their ends."""
+        a, b = self.byte_ids(" " + text), self.b_model.encode(text)
+        b_text = list(map(self.b_text.__getitem__, b))
+        if b"".join(b_text) != b" " + text.encode():
+            return None, {}, {}
+        one, two = (dict(zip(accumulate(sizes), count(1))) for sizes in (map(self.a_size.__getitem__, a), map(len, b_text)))
+        return (array("H", a).tobytes(), array("H", b).tobytes(), *shared_ends(one, two)), one, two
+
+    def _together(self, stretches: list[str]) -> dict[str, tuple]:
+        """Stretches aligned as one text, in which each begins with a token of either side."""
+        row, one, two = self._tokens(" ".join(stretches))
+        borders = list(accumulate(len(x.encode()) + 1 for x in stretches))
+        if row is None or not (one.keys() >= set(borders) <= two.keys()):
+            return {}
+        x, y = ([0, *map(side.__getitem__, borders)] for side in (one, two))
+        a, b, a_ends, b_ends = row
+        return {s: (a[2 * i : 2 * j], b[2 * k : 2 * n], a_ends[i:j], b_ends[k:n]) for s, i, j, k, n in zip(stretches, x, x[1:], y, y[1:])}
+
+    def rows(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
+        """The aligned ids and ends of whole texts; four empty strings for an empty text and one that is not given back."""
+        cut = [STRETCH.split(t) if t else [] for t in texts]
+        every = set().union(*cut)
+        again = (every & self.older.keys()) - self.known.keys()
+        self.known.update((x, self.older[x]) for x in again)
+        found = {x: self.known[x] for x in every & self.known.keys()}
+        fresh = self.align(list(every - found.keys()))
+        self.known.update((k, v) for k, v in fresh.items() if len(k) <= SHORT)
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        found.update(fresh)
+        for parts in cut:
+            held = list(map(found.__getitem__, parts))
+            yield (b"",) * 4 if not held or None in held else tuple(b"".join(map(itemgetter(i), held)) for i in range(4))
+
+
+@functools.lru_cache(maxsize=1)
+def tokenizer_pair(byte_path: str, piece_path: str) -> Pair:
+    return Pair(byte_path, piece_path)
+
+
+def _plain_byte_ids(text: str, path: str) -> list[int]:
+    points = bpe.code_points(text)
+    start, end = pretokens(points, np.array([0, len(text)]))
+    return bpe.tokenizer(path).encode(text, points, start, end, bpe.point_hashes(points))[0].tolist()
 
 
-def byte_ids(texts: list[str], path: str) -> list[list[int]]:
-    """Ids of each text by a byte-level vocabulary; special tokens' strings are plain text."""
-    model = bpe.tokenizer(path)
-    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
-    text = "".join(texts)
-    points = bpe.code_points(text)
-    start, end = pretokens(points, at)
-    ids, sizes = model.encode(text, points, start, end, bpe.point_hashes(points))
-    upto = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(start, at)].tolist()
-    ids = ids.tolist()
-    return [ids[a:b] for a, b in zip(upto, upto[1:])]
-
-
-def groups_of(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of tokens of either side in each group, of tokens given by their bytes."""
-    sides = []
-    for tokens in (a, b):
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))).tolist()
-        sides.append(dict(zip(ends, range(1, len(ends) + 1))))
-    one, two = sides
+def shared_ends(one: dict[int, int], two: dict[int, int]) -> tuple[bytes, bytes]:
+    """By token, 1 where it ends where one of the other side does; given by side as end and number of each token, from 1."""
     shared = sorted(one.keys() & two.keys())
-    return tuple(np.diff(np.fromiter(map(side.__getitem__, shared), np.int64, len(shared)), prepend=0) for side in (one, two))
+    marks = []
+    for side in (one, two):
+        mark = np.zeros(len(side) + 1, np.uint8)
+        mark[np.fromiter(map(side.__getitem__, shared), np.int64, len(shared))] = 1
+        marks.append(mark[1:].tobytes())
+    return marks[0], marks[1]
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """``key``, ``a_ids``, ``b_ids``, and ``a_sizes``, ``b_sizes``: how many tokens of either side each group has.
+    """``key``, ``a_ids`` and ``b_ids`` (little-endian unsigned 16-bit), ``a_ends`` and ``b_ends`` (a byte for each token, 1 where
+    its group ends).
 
     Side A is the byte-level tokenizer on a space and the text, side B the piece tokenizer on the text, which adds the space
-    itself.  Null and empty texts have no tokens; nor have texts that the tokens of either side do not give back byte for
-    byte.  Every row gives one row, other columns are left behind.
+    itself; neither may have more than 65,536 ids.  Null and empty texts have no tokens; nor have texts that the tokens of either
+    side do not give back byte for byte.  Every row gives one row, other columns are left behind.
     """
-    names = ("a_ids", "b_ids", "a_sizes", "b_sizes")
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} array<int>" for n in names)
+    names = ("a_ids", "b_ids", "a_ends", "b_ends")
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} binary" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_text, (model, b_text) = bpe.tokenizer(byte_path).text, piece_model(piece_path)
-        for batch in pieces(batches, column):
-            texts = [t or "" for t in batch.column(column).to_pylist()]
-            columns: dict[str, list] = {n: [] for n in names}
-            for text, a, b in zip(texts, byte_ids([" " + t for t in texts], byte_path), model.encode(texts, num_threads=1)):
-                a_bytes, b_bytes = [a_text[i] for i in a], [b_text[i] for i in b]
-                plain = b" " + text.encode()
-                if not text or b"".join(a_bytes) != plain or b"".join(b_bytes) != plain:
-                    a, b, p, q = [], [], [], []
-                else:
-                    p, q = groups_of(a_bytes, b_bytes)
-                for n, x in zip(names, (a, b, p, q)):
-                    columns[n].append(np.asarray(x, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(key), *map(_lists, columns.values())], [key, *names])
+        pair = tokenizer_pair(byte_path, piece_path)
+        for batch in pieces(batches, column, PIECE):
+            rows = pair.rows([t or "" for t in batch.column(column).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array(x, pa.binary()) for x in zip(*rows)]], [key, *names])
 
     return docs.select(key, column).mapInArrow(run, schema)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
-
-
 class Aligned:
-    """A batch of aligned rows as flat arrays."""
+    """A batch of aligned rows as flat arrays: ids, and by group its document and its number of tokens on either side."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         self.n = batch.num_rows
-        flat, size = {}, {}
-        for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"):
-            lists = batch.column(c)
-            flat[c], size[c] = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
-        self.a, self.b, self.p, self.q = flat.values()
-        self.n_a, self.n_b, self.n_groups = size["a_ids"], size["b_ids"], size["a_sizes"]
-        self.doc = np.repeat(np.arange(self.n), self.n_groups)  # of each group
+        (self.a, self.n_a), (self.b, self.n_b) = (_flat(batch.column(c), "<u2") for c in ("a_ids", "b_ids"))
+        a_end, b_end = (np.flatnonzero(_flat(batch.column(c), "u1")[0]) for c in ("a_ends", "b_ends"))
+        self.p, self.q = np.diff(a_end, prepend=-1), np.diff(b_end, prepend=-1)
+        self.doc = np.searchsorted(np.cumsum(self.n_a), a_end, side="right")
+        self.n_groups = np.bincount(self.doc, minlength=self.n).astype(np.int64)
         self.a_at, self.b_at = np.cumsum(self.p) - self.p, np.cumsum(self.q) - self.q
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,7 +206,7 @@ class Aligned:
             times = np.bincount(back, np.concatenate((times, n)), len(code)).astype(np.int64)
         return code >> 2 * ID_BITS, code & ((1 << 2 * ID_BITS) - 1), times
 
-    def written(self) -> list[str]:
+    def written(self) -> list[bytes]:
         """The groups of each document: ids joined by commas, the sides by a bar, groups by semicolons."""
         out = np.empty(len(self.a) + len(self.b), np.int64)
         width = self.p + self.q
@@ -148,22 +217,29 @@ class Aligned:
         out[at + self.p - 1] |= 1
         out[at + width - 1] |= 2
         upto = np.concatenate(([0], np.cumsum(self.n_a + self.n_b)))
-        last = upto[1:][np.diff(upto) > 0] - 1
-        out[last] |= 3
-        words = _words(int(out.max()) + 1 if len(out) else 0)
-        text, upto = out.tolist(), upto.tolist()
-        return ["".join([words[i] for i in text[x:y]]) for x, y in zip(upto, upto[1:])]
+        out[upto[1:][np.diff(upto) > 0] - 1] |= 3
+        letters, size = _written_ids()
+        size = size[out]
+        text = letters[out][np.arange(letters.shape[1]) < size[:, None]].tobytes()
+        upto = np.concatenate(([0], np.cumsum(size)))[upto].tolist()
+        return [text[x:y] for x, y in zip(upto, upto[1:])]
 
 
-_cached_words: list[str] = []
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed numbers, and how many each row has."""
+    width = np.dtype(kind).itemsize
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), kind).astype(np.int64), np.diff(at) // width
 
 
-def _words(n: int) -> list[str]:
-    """Strings of id << 2 | what follows it: a comma, a bar, a semicolon, nothing."""
-    while len(_cached_words) < n:
-        i = len(_cached_words) >> 2
-        _cached_words.extend((f"{i},", f"{i}|", f"{i};", f"{i}"))
-    return _cached_words
+@functools.lru_cache(maxsize=1)
+def _written_ids() -> tuple[np.ndarray, np.ndarray]:
+    """Padded bytes and their number of all id << 2 | what follows the id: a comma, a bar, a semicolon, nothing."""
+    text = [f"{i}{mark}".encode() for i in range(1 << ID_BITS) for mark in (",", "|", ";", "")]
+    size = np.fromiter(map(len, text), np.int64, len(text))
+    return np.array(text, "S").view(np.uint8).reshape(len(text), -1), size
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -174,7 +250,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             pair, n = np.unique(Aligned(b).pairs()[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "c"])
 
-    return aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(run, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c"))
+    return aligned.select("a_ids", "b_ids", "a_ends", "b_ends").mapInArrow(run, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
@@ -213,7 +289,7 @@ def alignment_report(aligned: DataFrame, key: str = "doc_id", known: int = KNOWN
             best = here.copy()
             best[here] = top[at[here]]
             own = (x.n_a, x.n_b, x.n_groups, total(slice(None), times), total(best, times[best]), total(here, times[here] * c[at[here]]))
-            hashes = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in x.written()]
+            hashes = [hashlib.sha256(t).hexdigest() if t else "" for t in x.written()]
             uid, away = batch.column("uid").to_numpy(), np.flatnonzero(~here)
             m = len(away)
             yield pa.RecordBatch.from_arrays(

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from small import SMALL
@@ -78,19 +79,35 @@ def test_odd_texts_with_and_without_known_pairs(llm):
 
 
 def test_groups_are_cut_where_both_sides_end():
-    p, q = op.groups_of([b"ab", b"c", b"de", b"f"], [b"a", b"bc", b"d", b"e", b"f"])
-    assert (p.tolist(), q.tolist()) == ([2, 1, 1], [2, 2, 1])
+    assert op.shared_ends({2: 1, 3: 2, 5: 3, 6: 4}, {1: 1, 3: 2, 4: 3, 5: 4, 6: 5}) == (b"\0\1\1\1", b"\0\1\0\1\1")
+
+
+def test_stretches_aligned_alone_give_the_tokens_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(op, "CACHED", 40)
+    one, two = Tokenizer.from_file(BYTE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    one.encode_special_tokens = True
+    texts = [t or "" for _, t in odd_texts()] + ["a" + " " * 200000 + "b", "\n" * 150000, "x" * 200000]
+    pair = op.Pair(BYTE, PIECE)
+    for _ in range(2):
+        for k in range(0, len(texts), 7):
+            for t, row in zip(texts[k : k + 7], pair.rows(texts[k : k + 7])):
+                if row[0]:
+                    assert np.frombuffer(row[0], "<u2").tolist() == one.encode(" " + t, add_special_tokens=False).ids
+                    assert np.frombuffer(row[1], "<u2").tolist() == two.encode(t)
+                else:
+                    assert not t or "▁" in t
 
 
 def test_links_expanded_in_steps_give_the_same_pairs(monkeypatch):
     r = random.Random(2)
-    rows = {"a_ids": [], "b_ids": [], "a_sizes": [], "b_sizes": []}
+    rows = {"a_ids": [], "b_ids": [], "a_ends": [], "b_ends": []}
     for _ in range(40):
         groups = [(r.randrange(1, 9), r.randrange(1, 9)) for _ in range(r.randrange(12))]
         for side, k in (("a", 0), ("b", 1)):
-            rows[f"{side}_sizes"].append([g[k] for g in groups])
-            rows[f"{side}_ids"].append([r.randrange(6) for g in groups for _ in range(g[k])])
-    batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.list_(pa.int32())) for k, v in rows.items()})
+            rows[f"{side}_ends"].append(b"".join(b"\0" * (g[k] - 1) + b"\1" for g in groups))
+            rows[f"{side}_ids"].append(bytes(x for g in groups for _ in range(g[k]) for x in (r.randrange(6), 0)))
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary()) for k, v in rows.items()})
     whole = [x.tolist() for x in op.Aligned(batch).pairs()]
+    assert whole[0] == sorted(whole[0]) and sum(whole[2]) == sum(op.Aligned(batch).p * op.Aligned(batch).q)
     monkeypatch.setattr(op, "LINKS", 10)
     assert [x.tolist() for x in op.Aligned(batch).pairs()] == whole
