@@ -16,7 +16,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, count
+from itertools import accumulate, chain, count
 from operator import itemgetter
 
 import numpy as np
@@ -34,8 +34,9 @@ KNOWN = 1 << 20  # pairs whose counts go to all tasks (17 MB)
 LINKS = 1 << 20  # links expanded at a time
 ID_BITS = 16  # ids of either side lie below 2**16
 PIECE = 1 << 20  # bytes of text aligned at a time
-CACHED, SHORT = 1 << 16, 64  # stretches of at most so many characters are kept, those used last; no result depends on it
+CACHED, SHORT = 1 << 17, 64  # stretches of at most so many characters are kept, those used last; no result depends on it
 STRETCH = re.compile(r"(?<=\S) (?=\S)")
+TOGETHER = 12  # stretches given to the piece tokenizer as one text; its time grows faster than a text's length
 LONG_GAP = re.compile(r"\s{1000}")
 
 
@@ -88,12 +89,14 @@ class Pair:
         found = self._together(plain) if plain else {}
         for x in stretches:
             if x not in found:
-                found[x] = self._tokens(x)[0]
+                found[x] = self._tokens([x])[0]
         return found
 
-    def _tokens(self, text: str) -> tuple[tuple | None, dict[int, int], dict[int, int]]:
-        """The alignment of a text, and its tokens by their ends."""
-        a, b = self.byte_ids(" " + text), self.b_model.encode(text)
+    def _tokens(self, stretches: list[str]) -> tuple[tuple | None, dict[int, int], dict[int, int]]:
+        """The alignment of stretches in a row, and their tokens by their ends."""
+        text, some = " ".join(stretches), range(0, len(stretches), TOGETHER)
+        a = self.byte_ids(" " + text)
+        b = list(chain.from_iterable(self.b_model.encode([" ".join(stretches[i : i + TOGETHER]) for i in some], num_threads=1)))
         b_text = list(map(self.b_text.__getitem__, b))
         if b"".join(b_text) != b" " + text.encode():
             return None, {}, {}
@@ -102,7 +105,7 @@ class Pair:
 
     def _together(self, stretches: list[str]) -> dict[str, tuple]:
         """Stretches aligned as one text, in which each begins with a token of either side."""
-        row, one, two = self._tokens(" ".join(stretches))
+        row, one, two = self._tokens(stretches)
         borders = list(accumulate(len(x.encode()) + 1 for x in stretches))
         if row is None or not (one.keys() >= set(borders) <= two.keys()):
             return {}
