@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sharetide.config import Settings
 from sharetide.operators.alerts import generate_alerts
-from sharetide.operators.cleaning import DUPLICATE_KEYS, mark_duplicates, storage_clean
+from sharetide.operators.cleaning import DUPLICATE_KEYS, storage_clean
 from sharetide.operators.detectors import gold as detect
 from sharetide.operators.share import BRAND_KEYS, category_totals, shares_from_totals
 from sharetide.operators.shift import share_shifts
@@ -85,47 +86,61 @@ def read_output(spark: SparkSession, root: str, name: str, schema: T.StructType
     return (spark.read.schema(schema) if schema else spark.read).parquet(f"{root}/{name}")
 
 
-def new_rows(
-    batch: DataFrame, stored: DataFrame | None, keys: Sequence[str], order: str, month: str = "key_month"
-) -> DataFrame:
-    """Rows of the batch that repeat neither an earlier row of the batch nor a stored key.
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, on disk, so it may outgrow the memory."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
 
-    ``month`` is a coarse part of the key that the store is partitioned by: only the stored
-    months that occur in the batch are read.
+def first_arrivals(stream: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """A running aggregate by key (null keys are equal): the row that came first, and when the key came last.
+
+    A row comes with its micro-batch, whose time Spark logs, so a replay gives it the same; within one the least
+    ``order`` is first.  Only keys and ``carried`` are kept as state, combined before they are shuffled.
     """
-    first = mark_duplicates(batch, order, keys).filter(~F.col("is_duplicate")).drop("is_duplicate")
-    if stored is None:
-        return first
-    stored = stored.join(batch.select(month).distinct(), month, "left_semi")
-    same = first[month] == stored[month]
-    for k in keys:
-        same = same & first[k].eqNullSafe(stored[k])
-    return first.join(stored, same, "left_anti")
+    rows = stream.withColumn("_arrival", F.current_timestamp())
+    return rows.groupBy(*keys).agg(F.min(F.struct("_arrival", *order, *carried)).alias("_first"), F.max("_arrival").alias("_last"))
 
 
 def dedupe_stream(
     stream: DataFrame,
     root: str,
     keys: Sequence[str] = DUPLICATE_KEYS,
-    order: str = "raw_id",
-    date: str = "iso_date",
+    order: Sequence[str] = ("raw_id",),
 ) -> StreamingQuery:
-    """Drop rows already seen in this or in any earlier delivery, without a time limit.
+    """Of rows with equal keys keep the one that arrived first, in this or in any earlier delivery, without a time limit.
 
-    The store itself is the state: a batch is compared with what earlier batches stored, so a
-    replayed batch (which overwrites its own folder) gives the same rows again.
+    Rows of one micro-batch are taken in ``order``.  The state by key lives with the checkpoint: a batch costs as much as it
+    brings, whatever was stored before.  New rows go to the batch's own folder, which a replay overwrites with the
+    same rows.  Columns outside ``keys`` and ``order`` are carried along and must be comparable.
     """
+    spark, columns = stream.sparkSession, stream.columns
+    if path_exists(spark, f"{root}/rows") and not path_exists(spark, f"{root}/_checkpoint"):
+        raise RuntimeError(f"{root} holds rows but no checkpoint: what has arrived before is no longer known")
+    carried = [c for c in columns if c not in (*keys, *order)]
+    seen = first_arrivals(stream, keys, order, carried)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.withColumn("key_month", F.coalesce(F.left(date, F.lit(7)), F.lit("none"))).persist()
-        stored = read_output(spark, root, "rows")
-        if stored is not None:
-            stored = stored.filter(F.col("batch_id") < batch_id).select(*keys, "key_month")
-        write_batch(new_rows(batch, stored, keys, order), root, "rows", batch_id, "key_month")
-        batch.unpersist()
-
-    return run_batches(stream, f"{root}/_checkpoint", step)
+        new = batch.filter(F.col("_first")["_arrival"] == F.col("_last"))
+        write_batch(new.select(*[c if c in keys else F.col("_first")[c].alias(c) for c in columns]), root, "rows", batch_id)
+
+    with keyed_state(spark):
+        return (
+            seen.writeStream.outputMode("update")
+            .foreachBatch(step)
+            .option("checkpointLocation", f"{root}/_checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def dedupe_within(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:

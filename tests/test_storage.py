@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,22 +249,39 @@ def test_stream_routing_equals_batch_over_many_files(spark):
     assert {r.raw_id for r in bad.collect()} == {1, 2, 5}
 
 
-def test_stream_dedupe_across_deliveries_and_replay(spark):
-    changes = [{"product": f"P{i % 5}"} for i in range(20)]
-    rows = derive_columns(feed(spark, *changes))
-    parts = [rows.filter(F.col("raw_id").between(5 * k, 5 * k + 6)) for k in range(4)]
-    path = write_files(parts)
-    root = fresh_path(spark, "dedupe")
-    stream = fs.stream_feed(spark, path, rows.schema, "parquet", files_per_batch=1)
-    fs.dedupe_stream(stream, root).awaitTermination()
-    kept = fs.read_output(spark, root, "rows")
-    assert kept.count() == 5 == kept.select("product").distinct().count()
-    # The same batch handed in again writes the same rows to the same place.
-    first = parts[0].withColumn("key_month", F.lit("2025-01"))
-    stored = kept.filter("batch_id < 0").select(*DUPLICATE_KEYS, "key_month")
-    again = fs.new_rows(first, stored, DUPLICATE_KEYS, "raw_id")
-    fs.write_batch(again, root, "rows", 0, "key_month")
-    assert fs.read_output(spark, root, "rows").count() == 5
+def first_kept(parts):
+    """raw_id of the first row of each key, by delivery and raw_id."""
+    kept = {}
+    for p in parts:
+        for r in sorted(p.collect(), key=lambda r: r.raw_id):
+            kept.setdefault(tuple(r[k] for k in DUPLICATE_KEYS), r.raw_id)
+    return sorted(kept.values())
+
+
+def test_stream_dedupe_keeps_what_arrived_first_and_survives_restart_and_replay(spark, tmp_path):
+    changes = [{"product": f"P{i % 5}"} | ({"date": "?"} if i % 4 == 0 else {}) for i in range(24)]
+    rows = derive_columns(feed(spark, *changes)).select("raw_id", *DUPLICATE_KEYS)
+    parts = [rows.filter(F.col("raw_id").isin(ids)) for ids in ([9, 14, 4, 20], [1, 2, 3, 9, 5], [6, 7, 8, 10, 11, 12, 24], list(range(25)))]
+    root, path = str(tmp_path / "dedupe"), fresh_path(spark, "in")
+
+    def deliver(upto):
+        fs.dedupe_stream(fs.stream_feed(spark, path, rows.schema, "parquet", files_per_batch=1), root).awaitTermination()
+        found = fs.read_output(spark, root, "rows")
+        assert sorted(r.raw_id for r in found.collect()) == first_kept(parts[:upto])
+        return {(r.batch_id, r.raw_id) for r in found.collect()}
+
+    for k, p in enumerate(parts):  # a new query, from the checkpoint, for each delivery
+        p.coalesce(1).write.mode("append").parquet(path)
+        done = deliver(k + 1)
+    # The last batch failed after writing: its commit mark is gone and its rows are half there.
+    last = max(int(f.name) for f in (tmp_path / "dedupe" / "_checkpoint" / "commits").iterdir() if f.name.isdigit())
+    for mark in (tmp_path / "dedupe" / "_checkpoint" / "commits").glob(f"*{last}*"):
+        mark.unlink()
+    fs.write_batch(rows.limit(1), root, "rows", last)
+    assert deliver(4) == done
+    shutil.rmtree(tmp_path / "dedupe" / "_checkpoint")
+    with pytest.raises(RuntimeError, match="no checkpoint"):
+        fs.dedupe_stream(fs.stream_feed(spark, path, rows.schema, "parquet"), root)
 
 
 def test_bounded_stream_dedupe(spark):
