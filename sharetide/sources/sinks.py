@@ -17,10 +17,10 @@ GOLD_TABLE = "market_share_gold"
 ALERT_TABLE = "threshold_alerts"
 
 
-def by_week(df: DataFrame) -> DataFrame:
+def by_week(df: DataFrame, week: str = "year_week") -> DataFrame:
     """Bring the rows of a week together, so that a week is a few files and not one per task; Spark
     splits a week that is too big for one file."""
-    return df.hint("rebalance", "year_week")
+    return df.hint("rebalance", week)
 
 
 def write_table(df: DataFrame, path: str, weekly: bool = True) -> None:
