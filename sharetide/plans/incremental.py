@@ -34,11 +34,18 @@ from sharetide.sources.sinks import replace_weeks
 
 @dataclass(frozen=True)
 class Refresh:
-    """``totals``: the new totals; ``rows``: recomputed gold rows; ``gold``: the new gold table."""
+    """``totals``: the new totals; ``rows``: recomputed gold rows; ``gold``: the new gold table; ``delivered``: the totals of the
+    delivered weeks."""
 
     totals: DataFrame
     rows: DataFrame
     gold: DataFrame
+    delivered: DataFrame
+
+    def weeks(self) -> list[str]:
+        """Weeks whose totals or gold rows differ from what was stored; as many as a table has weeks at most."""
+        found = self.rows.select("year_week").union(self.delivered.select("year_week")).distinct()
+        return sorted(r[0] for r in found.collect())
 
 
 def refresh(
@@ -103,4 +110,4 @@ def refresh(
         .join(changed, "clean_brand", "left_anti")
         .join(rows.select(*GOLD_KEYS), list(GOLD_KEYS), "left_anti")
     )
-    return Refresh(totals, rows, kept.select(*rows.columns).unionByName(rows))
+    return Refresh(totals, rows, kept.select(*rows.columns).unionByName(rows), delivered)

@@ -15,6 +15,7 @@ from sharetide.schemas import FEED_FIELDS
 from sharetide.session import fresh_path, stage
 from sharetide.sources import feeds, sinks
 from sharetide.sources import star_tables as st
+from sharetide.sources.versioned import DeliveryStore, WeekStore
 
 _FEED = ", ".join(sql.FEED_COLUMNS)
 
@@ -190,6 +191,15 @@ def _(spark, sf):
     return sinks.export_csv(layers(_run(spark, sf)), fresh_path(spark, "export"))
 
 
+def _appended_twice(spark, rows, part):
+    """Deliver ``rows`` in parts, and each part again as a sender does that got no answer: the store has them once."""
+    store, rows = DeliveryStore(spark, fresh_path(spark, "deliveries")), stage(rows.withColumn("_part", part.cast("string")), "sent")
+    for _ in range(2):
+        for name in [r[0] for r in rows.select("_part").distinct().orderBy("_part").collect()]:
+            store.append(rows.where(F.col("_part").eqNullSafe(F.lit(name))).drop("_part"), f"delivery-{name}")
+    return store.read()
+
+
 @query(
     "append_raw",
     sql.over_feed(
@@ -200,9 +210,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    path = fresh_path(spark, "raw-store")
-    sinks.append_rows(sinks.raw_store_rows(feed(spark, sf)), path)
-    return spark.read.parquet(path)
+    return _appended_twice(spark, sinks.raw_store_rows(feed(spark, sf)), F.pmod("raw_id", F.lit(3)))
 
 
 @query(
@@ -216,7 +224,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return sinks.clean_store_rows(impute_group_median(valid_rows(processed(spark, sf))))
+    return _appended_twice(spark, sinks.clean_store_rows(impute_group_median(valid_rows(processed(spark, sf)))), F.left("year_week", F.lit(4)) < "1999")
 
 
 _REPLACED = (
@@ -241,12 +249,33 @@ def _(spark, sf):
 
 @query("replace_week", sql.analytics(_REPLACED, upto="brands"))
 def _(spark, sf):
-    path = fresh_path(spark, "weeks")
-    facts = stage(st.facts(spark, sf), "facts")
-    sinks.write_table(facts.filter(F.col("l_returnflag") != "R").select(*_COLUMNS), path)
+    store, facts = WeekStore(spark, fresh_path(spark, "weeks")), stage(st.facts(spark, sf), "facts")
+    store.replace(facts.filter(F.col("l_returnflag") != "R").select(*_COLUMNS))
     for _ in range(2):
-        sinks.overwrite_weeks(_delivery(facts).select(*_COLUMNS), path)
-    return spark.read.parquet(path).select(*_COLUMNS)
+        store.replace(_delivery(facts).select(*_COLUMNS))
+    return store.read()
+
+
+@query(
+    "store_versions",
+    sql.analytics(
+        "SELECT 1 AS version, year_week, count(*) AS rows, sum(clean_trx) AS clean_trx FROM facts WHERE l_returnflag <> 'R' GROUP BY ALL UNION ALL "
+        "SELECT 2, year_week, count(*), sum(clean_trx) FROM facts WHERE l_returnflag <> 'R' OR year_week BETWEEN '1999-W10' AND '1999-W20' GROUP BY ALL UNION ALL "
+        "SELECT 3, year_week, count(*), sum(clean_trx) FROM facts WHERE (l_returnflag <> 'R' OR year_week BETWEEN '1999-W10' AND '1999-W20') "
+        "AND year_week NOT IN ('1999-W12', '1999-W15') GROUP BY ALL",
+        upto="brands",
+    ),
+)
+def _(spark, sf):
+    """All versions of a store by week stay readable: the first load, a delivery, and two weeks withdrawn."""
+    store, facts = WeekStore(spark, fresh_path(spark, "versions")), stage(st.facts(spark, sf), "facts")
+    store.replace(facts.filter(F.col("l_returnflag") != "R").select(*_COLUMNS))
+    store.replace(_delivery(facts).select(*_COLUMNS))
+    store.replace(facts.select(*_COLUMNS).limit(0), weeks=["1999-W12", "1999-W15"])
+    counted = [
+        store.read(n).groupBy("year_week").agg(F.count("*").alias("rows"), F.sum("clean_trx").alias("clean_trx")).withColumn("version", F.lit(n)) for n in store.numbers()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 @query(

@@ -137,7 +137,7 @@ def _kept_current(spark, sf, name: str):
         return st.facts_of(batch, "p_type", None, keep=("delivery",))
 
     _delivered(spark, sf, lambda stream: fs.update_gold(stream, root, facts, delivery="delivery"))
-    return fs.latest_version(spark, root, name)
+    return fs.stored(spark, root, name)
 
 
 @query("stream_gold", sql.analytics(f"SELECT {sql.pick(sql.GOLD_TEXT, sql.GOLD_NUMBERS)} FROM gold", upto="gold"))
@@ -150,15 +150,16 @@ def _(spark, sf):
     return _kept_current(spark, sf, fs.ALERTS).drop("executive_brief")
 
 
-@query(
-    "stream_replace_week",
-    sql.analytics(f"SELECT {', '.join(_COLUMNS)} FROM facts WHERE year_week <> '2000-W20' OR l_returnflag = 'R'", upto="brands"),
-)
+@query("stream_replace_week", sql.analytics(f"SELECT {', '.join(_COLUMNS)} FROM facts", upto="brands"))
 def _(spark, sf):
-    """Without a delivery column every batch replaces its weeks: of week 2000-W20 the second part, which came last, is left."""
-    root = fresh_path(spark, "stream-weeks")
-    _delivered(spark, sf, lambda stream: fs.replace_delivered_weeks(st.facts_of(stream).select(*_COLUMNS), root))
-    return spark.read.parquet(f"{root}/facts").select(*_COLUMNS)
+    """Batches of whole weeks: week 1999-W15, incomplete at first, is replaced by the third."""
+    root, week = fresh_path(spark, "stream-weeks"), F.col("_week")
+    lines = st.table(spark, sf, "lineitem").withColumn("_week", year_week(F.col("l_shipdate").cast("date")))
+    batches = [week < "2000-W01", (week >= "2000-W01") & (week < "2001-W01"), week == "1999-W15", (week >= "2001-W01") | week.isNull()]
+    batches[0] = batches[0] & ((week != "1999-W15") | (F.col("l_returnflag") != "R"))
+    facts = lambda stream: st.facts_of(stream).select(*_COLUMNS)
+    _delivered(spark, sf, lambda stream: fs.replace_delivered_weeks(facts(stream), root, whole=True), [lines.filter(b).drop("_week") for b in batches])
+    return fs.stored(spark, root, "facts").select(*_COLUMNS)
 
 
 @query("stream_replace_delivery", sql.analytics(f"SELECT {', '.join(_COLUMNS)} FROM facts", upto="brands"))
@@ -167,4 +168,4 @@ def _(spark, sf):
     root = fresh_path(spark, "stream-parts")
     facts = lambda stream: st.facts_of(stream, keep=("delivery",)).select(*_COLUMNS, "delivery")
     _delivered(spark, sf, lambda stream: fs.replace_delivered_weeks(facts(stream), root, delivery="delivery"))
-    return spark.read.parquet(f"{root}/facts").select(*_COLUMNS)
+    return fs.stored(spark, root, "facts").select(*_COLUMNS)

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,20 @@ def local_session(cores: int | str = "*", app: str = "sharetide", **extra: str)
     return apply_sql_defaults(builder.getOrCreate())
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A configuration value that holds inside the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's own folder under the one that every executor can reach.
 

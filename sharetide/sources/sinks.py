@@ -89,10 +89,6 @@ def clean_store_rows(cleaned: DataFrame) -> DataFrame:
     return conform(shaped, CLEAN_STORE)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def replace_weeks(existing: DataFrame, delivered: DataFrame, week: str = "year_week") -> DataFrame:
     """``existing`` without the delivered weeks, plus the delivery."""
     weeks = delivered.select(week).distinct()

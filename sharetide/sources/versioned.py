@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sharetide.session import setting
 from sharetide.sources.sinks import by_week
 
+LISTED = "512"  # folders that the driver lists by itself; for more, tasks do it
+NO_WEEK = "__HIVE_DEFAULT_PARTITION__"  # Spark's name for the folder of rows without a week
+
 
 class Conflict(RuntimeError):
     """Another writer published this version first."""
@@ -120,7 +124,8 @@ class Folders:
         if not paths:
             return self.spark.createDataFrame([], schema)
         # Below the base path, folders named like week=2024-W01 give the column of that name its values.
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths).select(*schema.fieldNames())
+        with setting(self.spark, "spark.sql.sources.parallelPartitionDiscovery.threshold", LISTED):
+            return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths).select(*schema.fieldNames())
 
 
 class WeekStore(Folders):
@@ -138,11 +143,25 @@ class WeekStore(Folders):
         """Whether this source's change with this number, or a later one, is in the newest version."""
         return self.manifest().marks.get(source, -1) >= token
 
-    def replace(self, rows: DataFrame, weeks: list[str] | None = None, source: str = "", token: int | None = None) -> Manifest:
+    def before(self, source: str, token: int) -> Manifest:
+        """The version that this source's change with this number starts from: the newest, or the one before it if that has the change.
+
+        Changes are numbered from 0 without a gap; a store that lacks the one before, or has later ones, is an error, as going on
+        would lose rows.
+        """
+        now = self.manifest()
+        last = now.marks.get(source, -1)
+        if last == token:
+            return self.manifest(now.number - 1)
+        if last != token - 1:
+            raise RuntimeError(f"{self.root} has change {last} of {source or 'its source'} where {token} comes: the store and the stream's checkpoint do not belong together")
+        return now
+
+    def replace(self, rows: DataFrame, weeks: list[str] | None = None, source: str = "", token: int | None = None, facts: Mapping[str, Mapping] | None = None) -> Manifest:
         """Replace the weeks that ``rows`` hold, and empty those of ``weeks`` that they do not hold.
 
         With a ``token``, numbers that rise by source, a change that was taken in before is left out.  Rows without a week are kept
-        under a week of their own.
+        under a week of their own.  ``facts`` is noted by week.
         """
         now = self.manifest()
         if token is not None and now.marks.get(source, -1) >= token:
@@ -152,7 +171,7 @@ class WeekStore(Folders):
         written = {n.partition("=")[2]: f"{folder}/{n}" for n in self.names(folder) if n.startswith(f"{self.week}=")}
         folders = {k: v for k, v in now.folders.items() if k not in (weeks or [])} | written
         marks = {**now.marks, source: token} if token is not None else dict(now.marks)
-        return self.publish(replace(now, number=now.number + 1, schema=now.schema or rows.schema.json(), folders=folders, marks=marks))
+        return self.publish(replace(now, number=now.number + 1, schema=now.schema or rows.schema.json(), folders=folders, marks=marks, facts={**now.facts, **(facts or {})}))
 
 class DeliveryStore(Folders):
     """Deliveries appended exactly once each."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +17,11 @@ from sharetide.operators.share import BRAND_KEYS, category_totals, shares_from_t
 from sharetide.operators.shift import share_shifts
 from sharetide.plans.incremental import refresh
 from sharetide.schemas import FEED_WITH_ID, MEASURES
-from sharetide.session import path_exists, stage
-from sharetide.sources.sinks import overwrite_weeks
+from sharetide.session import path_exists, setting, stage
+from sharetide.sources.versioned import NO_WEEK, Manifest, WeekStore
 
-TOTALS, GOLD, ALERTS, DELIVERIES = "category_totals", "gold", "alerts", "deliveries"
+TOTALS, GOLD, ALERTS = "category_totals", "gold", "alerts"
+STREAM = "stream"  # under this name the stores note the batches taken in
 
 
 def stream_feed(
@@ -86,19 +86,8 @@ def read_output(spark: SparkSession, root: str, name: str, schema: T.StructType
     return (spark.read.schema(schema) if schema else spark.read).parquet(f"{root}/{name}")
 
 
-@contextmanager
-def keyed_state(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, on disk, so it may outgrow the memory."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+# Keyed state on disk, so it may outgrow the memory; holds for queries started while it is set.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def first_arrivals(stream: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Sequence[str]) -> DataFrame:
@@ -133,7 +122,7 @@ def dedupe_stream(
         new = batch.filter(F.col("_first")["_arrival"] == F.col("_last"))
         write_batch(new.select(*[c if c in keys else F.col("_first")[c].alias(c) for c in columns]), root, "rows", batch_id)
 
-    with keyed_state(spark):
+    with setting(spark, *ROCKSDB):
         return (
             seen.writeStream.outputMode("update")
             .foreachBatch(step)
@@ -181,9 +170,9 @@ def update_gold(
 ) -> StreamingQuery:
     """Keep category totals, gold and alerts current, one micro-batch at a time.
 
-    Each batch writes a new version of the tables (they are small: one row per week, region
-    and brand) under its batch number, computed from the version before it, so a
-    replay repeats the same answer and readers never see a half-written table.
+    Each table is a store by week: a batch writes the weeks it changes and publishes them with its number, so a replay changes
+    nothing and readers never see a half-written table.  A batch that failed between two tables goes on from the
+    versions before it.
 
     A batch replaces the weeks that it holds.  Batches are cut by files, so name the facts' column that tells
     ``delivery`` from delivery wherever a week may come in several files: a part of the
@@ -194,89 +183,79 @@ def update_gold(
         raise ValueError("a stream needs a fitted forest: fit it on stored rows first")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        facts = to_facts(batch)
-        stored = {n: version(spark, root, n, batch_id - 1) for n in (TOTALS, GOLD, *([DELIVERIES] if delivery else []))}
+        totals, gold, alerts = (WeekStore(batch.sparkSession, f"{root}/{n}") for n in (TOTALS, GOLD, ALERTS))
+        base = totals.before(STREAM, batch_id)
+        known, known_gold = totals.rows(base), gold.rows(gold.before(STREAM, batch_id))
+        facts, newest = to_facts(batch), {}
         if delivery:
-            facts, newest = _one_delivery(stage(facts, "batch-facts"), delivery, stored)
-            write_batch(newest, root, DELIVERIES, batch_id)
-        if stored[TOTALS] is None:
-            totals = stage(category_totals(facts), "totals")
-            gold = detect(share_shifts(shares_from_totals(totals, s.on_multi)), s, forest)
+            facts = stage(facts, "batch-facts")
+            newest = _newest_deliveries(facts, delivery)
+            facts = _one_delivery(facts, delivery, newest, known, base)
+        if known is None:
+            changed, weeks = stage(category_totals(facts), "totals"), None
+            rows = detect(share_shifts(shares_from_totals(changed, s.on_multi)), s, forest)
         else:
-            done = refresh(stored[TOTALS], stored[GOLD], facts, s, forest)
-            totals, gold = done.totals, done.gold
-        write_batch(totals, root, TOTALS, batch_id)
-        write_batch(gold, root, GOLD, batch_id)
-        written = spark.read.parquet(batch_path(root, GOLD, batch_id))
-        write_batch(generate_alerts(written, s)[1], root, ALERTS, batch_id)
+            done = refresh(known, known_gold, facts, s, forest)
+            changed, weeks = done.delivered, done.weeks()
+            rows = done.gold.where(F.col("year_week").isin(weeks))
+        totals.replace(changed, source=STREAM, token=batch_id, facts=newest)
+        gold.replace(rows, weeks, STREAM, batch_id)
+        alerts.replace(generate_alerts(gold.read(weeks=weeks), s)[1], weeks, STREAM, batch_id)
 
     return run_batches(stream, f"{root}/_checkpoint", step)
 
 
-def _one_delivery(facts: DataFrame, delivery: str, stored: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame]:
-    """The batch's facts with what is stored of the same deliveries, and the deliveries of all weeks."""
+def _newest_deliveries(facts: DataFrame, delivery: str) -> dict[str, dict[str, object]]:
+    """The greatest delivery of each week of a batch; as many entries as weeks."""
     newest = facts.filter(F.col("year_week").isNotNull()).groupBy("year_week").agg(F.max(delivery).alias("delivery"))
-    own = facts.withColumnRenamed(delivery, "_from").join(newest, "year_week").filter("_from = delivery")
-    columns = [*BRAND_KEYS, "clean_therapeutic_area", *MEASURES]
-    if stored[DELIVERIES] is None:
-        return own.select(*columns), newest
-    again = newest.join(stored[DELIVERIES], ["year_week", "delivery"], "left_semi").select("year_week")
-    parts = own.select(*columns).unionByName(stored[TOTALS].join(again, "year_week", "left_semi").select(*columns))
-    return parts, stored[DELIVERIES].join(newest, "year_week", "left_anti").unionByName(newest)
-
-
-def versions(spark: SparkSession, root: str, name: str) -> list[int]:
-    """Batch numbers with a stored version; one directory is listed, no files."""
-    if not path_exists(spark, f"{root}/{name}"):
-        return []
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    names = [f.getPath().getName() for f in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
-    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch_id="))
-
+    return {r[0]: {"delivery": r[1]} for r in newest.collect()}
 
-def version(spark: SparkSession, root: str, name: str, batch_id: int) -> DataFrame | None:
-    """The table as batch ``batch_id`` left it; None only before the first batch of a new store.
 
-    A missing predecessor (removed, moved, or of another checkpoint) is an error, as going on without it
-    would lose the history.
-    """
-    there = versions(spark, root, name)
-    if batch_id in there:
-        return spark.read.parquet(batch_path(root, name, batch_id))
-    if batch_id < 0 and (not there or there == [0]):  # the first batch, or its replay
-        return None
-    raise RuntimeError(f"{root}/{name} lacks version {batch_id} and has {there}: the store and the stream's checkpoint do not belong together")
+def _one_delivery(facts: DataFrame, delivery: str, newest: dict, stored: DataFrame | None, base: Manifest) -> DataFrame:
+    """The newest delivery of each week of the batch, with the totals that are stored of the same delivery."""
+    columns = [*BRAND_KEYS, "clean_therapeutic_area", *MEASURES]
+    if not newest:
+        return facts.select(*columns).limit(0)
+    chosen = facts.sparkSession.createDataFrame([(w, f["delivery"]) for w, f in newest.items()], ["year_week", "_newest"])
+    own = facts.join(chosen, "year_week").filter(F.col(delivery) == F.col("_newest")).select(*columns)
+    again = [w for w, f in newest.items() if dict(base.facts.get(w, {})) == f]
+    if stored is None or not again:
+        return own
+    return own.unionByName(stored.where(F.col("year_week").isin(again)).select(*columns))
 
 
-def latest_version(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The table as the newest batch left it."""
-    there = versions(spark, root, name)
-    return version(spark, root, name, there[-1]) if there else None
+def stored(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The newest version of a table that a stream keeps; None before its first batch."""
+    return WeekStore(spark, f"{root}/{name}").read()
 
 
-def replace_delivered_weeks(stream: DataFrame, root: str, name: str = "facts", delivery: str | None = None) -> StreamingQuery:
-    """Each micro-batch replaces the weeks it contains in a table partitioned by week.
+def replace_delivered_weeks(stream: DataFrame, root: str, name: str = "facts", delivery: str | None = None, whole: bool = False) -> StreamingQuery:
+    """Each micro-batch replaces the weeks it contains in a store by week, and writes no others.
 
     Batches are cut by files, so name the column that tells ``delivery`` from delivery wherever a week may come in
     several files: a part of the delivery that is stored is added to the week, another delivery replaces it.
-    Within a batch the greatest delivery of a week counts.  The table then has a column ``batch_id``, by which
-    a replayed batch finds its own rows.
+    Within a batch the greatest delivery of a week counts.  Without that column a batch that brings a stored week is refused,
+    as its rows may be the rest of the week or all of it; ``whole`` says that batches hold whole weeks.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        store = WeekStore(batch.sparkSession, f"{root}/{name}")
+        base = store.before(STREAM, batch_id)
         if delivery:
-            batch = stage(_with_stored_parts(batch, read_output(batch.sparkSession, root, name), delivery, batch_id), "week-parts")
-        overwrite_weeks(batch, f"{root}/{name}")
+            batch = stage(_with_stored_parts(batch, store.rows(base), delivery), "week-parts")
+        elif not whole:
+            batch = stage(batch, "weeks")
+            there = {r[0] for r in batch.select(F.coalesce("year_week", F.lit(NO_WEEK))).distinct().collect()} & base.folders.keys()
+            if there:
+                raise ValueError(f"stored weeks come again and no delivery column tells what they replace: {sorted(there)[:5]}")
+        store.replace(batch, source=STREAM, token=batch_id)
 
     return run_batches(stream, f"{root}/_checkpoint", step)
 
 
-def _with_stored_parts(batch: DataFrame, stored: DataFrame | None, delivery: str, batch_id: int) -> DataFrame:
-    """The newest delivery of each week of the batch, with what earlier batches stored of the same delivery."""
+def _with_stored_parts(batch: DataFrame, stored: DataFrame | None, delivery: str) -> DataFrame:
+    """The newest delivery of each week of the batch, with what is stored of the same delivery."""
     newest = batch.groupBy(F.col("year_week").alias("_week")).agg(F.max(delivery).alias("_newest"))
     same = F.col("year_week").eqNullSafe(F.col("_week")) & F.col(delivery).eqNullSafe(F.col("_newest"))
-    own = batch.join(newest, same, "left_semi").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    if stored is None:
-        return own
-    return own.unionByName(stored.where(F.col("batch_id") < batch_id).join(newest, same, "left_semi"))
+    own = batch.join(newest, same, "left_semi")
+    return own if stored is None else own.unionByName(stored.join(newest, same, "left_semi"))

@@ -13,6 +13,7 @@ from sharetide.plans import incremental, weekly
 from sharetide.schemas import FEED_FIELDS, GOLD_STORE, conform
 from sharetide.session import fresh_path, stage
 from sharetide.sources import feeds, sinks
+from sharetide.sources.versioned import WeekStore
 from sharetide.streaming import feed_stream as fs
 from test_cleaning import feed
 
@@ -301,10 +302,10 @@ def test_stream_keeps_gold_and_alerts_current(spark):
     fs.update_gold(stream, root, lambda b: b).awaitTermination()
     after = parts[0].filter("year_week <> '2024-W04'").unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     expected = weekly.gold_from_clean(after)
-    same(fs.latest_version(spark, root, fs.GOLD), expected)
+    same(fs.stored(spark, root, fs.GOLD), expected)
     from sharetide.operators.alerts import generate_alerts
 
-    same(fs.latest_version(spark, root, fs.ALERTS), generate_alerts(expected)[1])
+    same(fs.stored(spark, root, fs.ALERTS), generate_alerts(expected)[1])
 
 
 def test_stream_puts_parts_of_a_week_together_and_replaces_redeliveries(spark):
@@ -323,7 +324,7 @@ def test_stream_puts_parts_of_a_week_together_and_replaces_redeliveries(spark):
     root = fresh_path(spark, "parts")
     fs.update_gold(stream, root, lambda b: b, delivery="delivery").awaitTermination()
     expected = weekly.gold_from_clean(whole.filter("year_week <> '2024-W02'").unionByName(late))
-    same(fs.latest_version(spark, root, fs.GOLD), expected)
+    same(fs.stored(spark, root, fs.GOLD), expected)
 
 
 def test_stream_of_weeks_puts_parts_together_and_replaces_redeliveries(spark):
@@ -336,22 +337,68 @@ def test_stream_of_weeks_puts_parts_together_and_replaces_redeliveries(spark):
     stream = fs.stream_feed(spark, write_files(parts), parts[0].schema, "parquet", files_per_batch=1)
     root = fresh_path(spark, "week-parts")
     fs.replace_delivered_weeks(stream, root, delivery="delivery").awaitTermination()
-    stored = spark.read.parquet(f"{root}/facts")
-    same(stored.drop("delivery", "batch_id"), whole.filter("year_week <> '2024-W02'").unionByName(late))
-    again = fs._with_stored_parts(parts[2], stored, "delivery", 2)  # a replayed batch
-    same(again.drop("delivery", "batch_id"), split)
+    same(fs.stored(spark, root, "facts").drop("delivery"), whole.filter("year_week <> '2024-W02'").unionByName(late))
+    store = WeekStore(spark, f"{root}/facts")
+    assert store.numbers() == [1, 2, 3, 4] and store.before(fs.STREAM, 3).number == 3 and store.before(fs.STREAM, 4).number == 4
+
+
+def test_weeks_that_come_again_need_a_delivery_column_or_whole_batches(spark):
+    parts = [make_facts(spark, [1, 2]), make_facts(spark, [2, 3], brands="A")]
+    path = write_files(parts)
+    for whole in (True, False):
+        root = fresh_path(spark, "whole")
+        stream = fs.stream_feed(spark, path, parts[0].schema, "parquet", files_per_batch=1)
+        if not whole:
+            with pytest.raises(Exception, match="stored weeks come again"):
+                fs.replace_delivered_weeks(stream, root).awaitTermination()
+        else:
+            fs.replace_delivered_weeks(stream, root, whole=True).awaitTermination()
+            same(fs.stored(spark, root, "facts"), parts[0].filter("year_week = '2024-W01'").unionByName(parts[1]))
+
+
+def test_a_batch_of_the_stream_writes_the_weeks_it_changes(spark):
+    parts = [make_facts(spark, range(1, 41)), make_facts(spark, [41])]
+    stream = fs.stream_feed(spark, write_files(parts), parts[0].schema, "parquet", files_per_batch=1)
+    root = fresh_path(spark, "small")
+    fs.update_gold(stream, root, lambda b: b).awaitTermination()
+    for name in (fs.TOTALS, fs.GOLD, fs.ALERTS):
+        store = WeekStore(spark, f"{root}/{name}")
+        first, second = (store.manifest(n).folders for n in (1, 2))
+        assert {w for w, f in second.items() if first.get(w) != f} <= {"2024-W41"}
+    same(fs.stored(spark, root, fs.GOLD), weekly.gold_from_clean(parts[0].unionByName(parts[1])))
+
+
+def test_a_batch_that_failed_between_two_tables_goes_on(spark, monkeypatch):
+    parts = [make_facts(spark, [1, 2, 3, 4]), make_facts(spark, [4, 5], bump={(4, "A"): (75.0, "X")})]
+    path, root, real = write_files(parts), fresh_path(spark, "halfway"), fs.generate_alerts
+    stream = lambda: fs.stream_feed(spark, path, parts[0].schema, "parquet", files_per_batch=1)
+    calls = []
+
+    def failing(gold, s):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(gold, s)
+
+    monkeypatch.setattr(fs, "generate_alerts", failing)
+    with pytest.raises(Exception, match="lost"):
+        fs.update_gold(stream(), root, lambda b: b).awaitTermination()
+    fs.update_gold(stream(), root, lambda b: b).awaitTermination()
+    expected = weekly.gold_from_clean(parts[0].filter("year_week <> '2024-W04'").unionByName(parts[1]))
+    same(fs.stored(spark, root, fs.GOLD), expected)
+    same(fs.stored(spark, root, fs.ALERTS), real(expected)[1])
 
 
 def test_a_lost_version_or_a_reset_checkpoint_is_an_error(spark):
-    root = fresh_path(spark, "lost")
+    store = WeekStore(spark, fresh_path(spark, "lost"))
     facts = make_facts(spark, [1])
-    assert fs.version(spark, root, fs.GOLD, -1) is None
-    fs.write_batch(facts, root, fs.GOLD, 0)
-    assert fs.version(spark, root, fs.GOLD, -1) is None  # the first batch, replayed
-    fs.write_batch(facts, root, fs.GOLD, 2)
-    for batch_id in (1, -1):
+    assert store.before(fs.STREAM, 0).number == 0
+    store.replace(facts, source=fs.STREAM, token=0)
+    assert store.before(fs.STREAM, 0).number == 0  # the first batch, replayed
+    store.replace(facts, source=fs.STREAM, token=1)
+    for batch_id in (0, 3):
         with pytest.raises(RuntimeError):
-            fs.version(spark, root, fs.GOLD, batch_id)
+            store.before(fs.STREAM, batch_id)
 
 
 def test_fitted_forest_is_stored_and_used_by_the_refresh(spark):
