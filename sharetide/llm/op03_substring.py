@@ -154,14 +154,14 @@ def keyed(docs: DataFrame, key: str, column: str) -> DataFrame:
     return docs.withColumn("row_key", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(column, F.lit("")), F.lit(3)))
 
 
-def without(docs: DataFrame, spans: DataFrame, column: str = "text", as_words: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def without(docs: DataFrame, spans: DataFrame, column: str = "text", as_words: bool = True, keep: tuple[str, ...] = (), merge: bool = False) -> DataFrame:
     """``docs`` (with row_key) whose text has lost its ``spans``; with ``n_words`` and ``n_removed``.
 
     With ``as_words`` the words left are joined by one space; else texts without a span stay as they are
     and others lose the bytes from a span's first word to the word after it.  ``keep`` names columns of ``spans`` to
-    carry along.
+    carry along.  With ``merge`` texts and spans meet by one shuffle of both, however few spans there are.
     """
-    joined = docs.join(spans.withColumn("flat", F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"])))).select("row_key", "flat", *keep), "row_key", "left")
+    joined = (docs.hint("merge") if merge else docs).join(spans.withColumn("flat", F.flatten(F.transform("spans", lambda s: F.array(s["a"], s["b"])))).select("row_key", "flat", *keep), "row_key", "left")
     fields = [f for f in joined.schema.fields if f.name not in (column, "flat", "n_words", "n_removed")]
     names = [f.name for f in fields]
 
@@ -205,7 +205,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 35, key: str = "doc_id", co
     table; other columns are left behind.  Every copy of a repeated passage goes, the first included.
     """
     rows = keyed(docs.select(key, column), key, column)
-    return without(rows, stage(repeats(rows, min_words, column), "spans"), column).drop("row_key")
+    return without(rows, stage(repeats(rows, min_words, column), "spans"), column, merge=True).drop("row_key")
 
 
 @op_query("op3_substring")
