@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN, SPAN, LANES = 16, 32, 256  # units; steps of a truncated window; texts scored side by side
+LEARNT_LANES = 128  # stretches of a sequence learnt side by side
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,56 +127,89 @@ class Gru:
                 wheres.append(np.stack((np.arange(active), np.full(active, t))))
             lane, t = np.concatenate(wheres, 1)
             chance, _ = self.log_chances(np.concatenate(states), ids[lane, t])
-            np.add.at(out, doc[lane, t], chance)
+            out += np.bincount(doc[lane, t], chance, len(texts))
         return out
 
-    def learn(self, passages: np.ndarray, rate: float, least_steps: int, batch: int = 64, seed: int = 0) -> int:
-        """Adam over passages (rows of ids, the first only precedes the others) by truncated backpropagation; returns the number of steps.
+    def learn(self, sequence: np.ndarray, rate: float) -> int:
+        """Adam over texts in a row, each with its end, by truncated backpropagation; returns the number of steps.
 
-        Windows of ``SPAN`` steps follow each other with the state carried, the gradient is cut between them.
+        The sequence is cut into stretches that are learnt side by side.  Windows of ``SPAN`` words follow each other with the
+        state carried from one to the next, and begin afresh after an end; only the gradient is cut between them.
         """
-        if not len(passages):
+        n = len(sequence)
+        if not n:
             return 0
-        r = np.random.default_rng(seed)
-        m, v, done = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
-        while True:
-            order = r.permutation(len(passages))
-            for a in range(0, len(order), batch):
-                rows = passages[order[a : a + batch]]
-                before, after = rows[:, :-1], rows[:, 1:]
-                h = np.zeros((len(rows), HIDDEN), np.float32)
-                for b in range(0, after.shape[1], SPAN):
-                    h, grads = self._window(before[:, b : b + SPAN], after[:, b : b + SPAN], h)
-                    done += 1
-                    for k, g in grads.items():
-                        m[k] += 0.1 * (g - m[k])
-                        v[k] += 0.01 * (g * g - v[k])
-                        self.p[k] -= (rate / (1 - 0.9**done) * m[k] / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-6)).astype(np.float32)
-            if done >= least_steps:
-                return done
-
-    def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
-        steps, n, kept, states = x.shape[1], HIDDEN, [], []
+        lanes = min(LEARNT_LANES, -(-n // SPAN))
+        length = -(-n // lanes)
+        y = np.full(lanes * length, -1, np.int64)
+        y[:n] = sequence
+        x = np.full(lanes * length, self.end, np.int64)
+        x[1:n] = sequence[: n - 1]
+        x, y = x.reshape(lanes, length), y.reshape(lanes, length)
+        flat = self.flat()
+        at, views = 0, {}
+        for k, v in self.p.items():  # all weights, and all gradients, lie in one array
+            views[k] = (at, at + v.size, v.shape)
+            at += v.size
+        self.p = {k: flat[a:b].reshape(shape) for k, (a, b, shape) in views.items()}
+        grad, m, v, done = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), 0
+        grads = {k: grad[a:b].reshape(shape) for k, (a, b, shape) in views.items()}
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        for a in range(0, length, SPAN):
+            grad[:] = 0
+            h, size = self._window(x[:, a : a + SPAN], y[:, a : a + SPAN], h, grads)
+            if not size:
+                continue
+            done += 1
+            grad *= np.float32(1 / size)
+            m += np.float32(0.1) * (grad - m)
+            np.multiply(grad, grad, out=grad)
+            v += np.float32(0.01) * (grad - v)
+            step = rate * (1 - a / length) * np.sqrt(1 - 0.99**done) / (1 - 0.9**done)
+            flat -= np.float32(step) * m / (np.sqrt(v) + np.float32(1e-7))
+        return done
+
+    def _window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: dict) -> tuple[np.ndarray, int]:
+        """The state after a window, and the number of words in it; adds the gradients of the words' negative log chances.
+
+        Words of -1 in ``y`` are not there.
+        """
+        p, n, (lanes, steps) = self.p, HIDDEN, x.shape
+        fed = p["x"][x.T] + p["b"]
+        keep = (x.T != self.end)[:, :, None].astype(h.dtype)  # a text begins with no state
+        shape = (steps, lanes, n)
+        before, z, r, c, hu = (np.empty(shape, fed.dtype) for _ in range(5))
+        states = np.empty(shape, fed.dtype)
         for t in range(steps):
-            h = np.where((x[:, t] == self.end)[:, None], np.float32(0), h)  # a text begins
-            h, memory = self.step(x[:, t], h)
-            kept.append(memory)
-            states.append(h)
-        grads = {k: np.zeros_like(p) for k, p in self.p.items()}
-        _, dh_all = self.log_chances(np.concatenate(states), y.T.ravel(), grads)
-        dh_all = dh_all.reshape(steps, len(x), n)
-        carry = np.zeros_like(h)
+            np.multiply(h, keep[t], out=before[t])
+            through = before[t] @ p["u"]
+            gates = _sigmoid(fed[t, :, : 2 * n] + through[:, : 2 * n])
+            z[t], r[t], hu[t] = gates[:, :n], gates[:, n:], through[:, 2 * n :]
+            np.tanh(fed[t, :, 2 * n :] + r[t] * hu[t], out=c[t])
+            h = np.add(c[t], z[t] * (before[t] - c[t]), out=states[t])
+        words, there = y.T.ravel(), np.flatnonzero(y.T.ravel() >= 0)
+        dh_all = np.zeros((steps * lanes, n), fed.dtype)
+        dh_all[there] = self.log_chances(states.reshape(-1, n)[there], words[there], grads)[1]
+        dh_all = dh_all.reshape(shape)
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), hu * r * (1 - r)
+        gate, inner = np.empty((steps, lanes, 3 * n), fed.dtype), np.empty((steps, lanes, 3 * n), fed.dtype)
+        carry, back = np.zeros_like(h), p["u"].T.copy()
         for t in range(steps - 1, -1, -1):
-            ids, before, z, r, c, hu = kept[t]
             dh = dh_all[t] + carry
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * hu * r * (1 - r)
-            gate = np.concatenate((dz, dr, dc), 1)
-            np.add.at(grads["x"], ids, gate)
-            grads["b"] += gate.sum(0)
-            through = np.concatenate((dz, dr, dc * r), 1)
-            grads["u"] += before.T @ through
-            carry = np.where((ids == self.end)[:, None], np.float32(0), dh * z + through @ self.p["u"].T)
-        size = np.float32(x.size)
-        return h, {k: g / size for k, g in grads.items()}
+            dc = dh * to_c[t]
+            g, i = gate[t], inner[t]
+            np.multiply(dh, to_z[t], out=g[:, :n])
+            np.multiply(dc, to_r[t], out=g[:, n : 2 * n])
+            g[:, 2 * n :] = dc
+            i[:, : 2 * n] = g[:, : 2 * n]
+            np.multiply(dc, r[t], out=i[:, 2 * n :])
+            carry = (dh * z[t] + i @ back) * keep[t]
+        flat = gate.reshape(-1, 3 * n)
+        grads["b"] += flat.sum(0)
+        grads["u"] += before.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
+        ids = x.T.ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        grads["x"][ids[first]] += np.add.reduceat(flat[order], first, axis=0)
+        return h, len(there)

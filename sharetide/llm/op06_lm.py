@@ -4,9 +4,9 @@ Word counts of all training documents are gathered first.  The most frequent wor
 network, all others share one; a word's chance is then the network's chance of that id, times the word's
 smoothed share of the words that have none.  So every text has a proper probability.
 
-The network learns by truncated backpropagation on the whole text of every training document: texts follow each other
-with their ends, cut into consecutive passages, each with the word before it; learners on all partitions start from
-the same weights and their weights are averaged after each round.
+The network learns by truncated backpropagation from every word of every training document, once: each learner gets a share of
+the texts, which follow each other with their ends and the state carried on; all start from the same weights, and their
+weights are averaged.
 Scoring runs over whole texts, with the state carried from window to window.
 """
 
@@ -21,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharetide.llm.common import op_query, table
-from sharetide.llm.gru import SPAN, Gru
+from sharetide.llm.gru import Gru
 from sharetide.llm.op03_substring import keyed
 from sharetide.llm.op08_langid import held_out
-from sharetide.llm.textmath import pieces, words_of
-from sharetide.session import stage
+from sharetide.llm.textmath import mix, pieces, words_of
+from sharetide.session import spread, stage
 
 WIDTH, CLASSES = 32, 32  # the network knows WIDTH * CLASSES ids
 KNOWN = 1 << 18  # counts of so many words are sent to all tasks (2 MB of hashes); other words are joined
-ROUNDS, RATE = 3, 0.01
+RATE = 0.02
+SHARE, STRETCH = 1 << 20, 1 << 15  # words of a learner, about; of a text that go to the same one
+FINE = 24  # bits of a weight behind the point when weights are averaged
 PIECE = 4 << 20  # bytes of text scored together
 END = 1  # hash that stands for the end of a text
 
@@ -76,50 +78,60 @@ def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     return Lexicon(top["word"].to_numpy().view(np.uint64), top["c"].to_numpy(), total["n"] + ends, total["v"] + (ends > 0), ends)
 
 
-def passages_of(texts: list[np.ndarray], length: int, end: int) -> np.ndarray:
-    """All texts with their ends, one after the other, in rows of ``length`` ids and the one before; the last is filled with ends."""
-    every = np.concatenate([np.append(t, end) for t in texts]) if texts else np.zeros(0, np.int64)
-    rows = -(-len(every) // length)
-    every = np.concatenate(([end], every, np.full(rows * length - len(every), end))).astype("<u2")
-    return every[np.arange(rows)[:, None] * length + np.arange(length + 1)]
-
-
-def learn_once(net: Gru, passages: np.ndarray, turn: int) -> int:
-    """Every passage once, in each round and at every size; returns the number of steps."""
-    return net.learn(passages, RATE / (turn + 1), 0, seed=turn)
-
-
 def train(docs: DataFrame, words: Lexicon, column: str = "text") -> Gru:
-    """The network, learnt from all words of ``docs``; rounds of local learning and averaging."""
+    """The network, learnt from every word of ``docs`` (with row_key): learners on equal shares, averaged.
+
+    Which learner gets a text, and in which order, follows from a hash of the row, and weights are summed as whole numbers, so
+    the same rows give the same network however they are partitioned.  The number of learners grows with the text.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words)
-    length = 2 * SPAN
+    shared = spark.sparkContext.broadcast((words, Gru.fresh(words.unigram, WIDTH, words.end)))
+    shares = max(1, -(-words.total // SHARE))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value[0]
         for b in pieces(batches, column):
             w = words_of(b.column(column), True)
-            ids, _, _ = shared.value.find(w.hash)
-            text = passages_of([ids[x:y] for x, y in zip(w.first, w.first[1:])], length, shared.value.end)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in text], pa.binary())], ["ids"])
-
-    passages = stage(docs.select(column).mapInArrow(cut, "ids binary").repartition(F.xxhash64("ids")), "passages")
-    model = Gru.fresh(words.unigram, WIDTH, words.end)
-    for turn in range(ROUNDS):
-        now = spark.sparkContext.broadcast(model)
-
-        def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, now=now) -> Iterator[pa.RecordBatch]:
-            net, steps = now.value.load(now.value.flat()), 0
-            for b in batches:  # at most an Arrow batch of passages in memory
-                mine = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2").astype(np.int32).reshape(-1, length + 1)
-                steps += learn_once(net, mine, turn)
-            if steps:
-                yield pa.RecordBatch.from_arrays([pa.array([net.flat()], pa.list_(pa.float32())), pa.array([float(steps)])], ["weights", "steps"])
-
-        learnt = passages.mapInArrow(learn, "weights array<float>, steps double")
-        mean = learnt.select("steps", F.posexplode("weights").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("steps")) / F.sum("steps")).alias("x")).orderBy("at").toArrow()
-        if mean.num_rows:
-            model = model.load(mean["x"].to_numpy())
-    return model
+            ids = lex.find(w.hash)[0].astype("<u2")
+            end = np.array([lex.end], "<u2")
+            rows, texts = [], []
+            for row, x, y in zip(b.column("row_key").to_pylist(), w.first.tolist(), w.first[1:].tolist()):
+                text = np.concatenate((ids[x:y], end))
+                for k in range(0, len(text), STRETCH):  # a very long text goes to several learners
+                    rows.append((row, k))
+                    texts.append(text[k : k + STRETCH].tobytes())
+            key = np.array(rows, np.int64).reshape(-1, 2)
+            place = mix(key[:, 0].view(np.uint64) + mix(key[:, 1].view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array((place % np.uint64(shares)).astype(np.int64)), pa.array(mix(place).view(np.int64)), pa.array(texts, pa.binary())], ["share", "place", "ids"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, steps, held, now = None, 0, [], None
+
+        def take() -> None:
+            nonlocal total, steps
+            fresh = shared.value[1]
+            net = fresh.load(fresh.flat())
+            done = net.learn(np.frombuffer(b"".join(held), "<u2").astype(np.int64), RATE)
+            mine = np.rint(net.flat().astype(np.float64) * (1 << FINE)).astype(np.int64) * done
+            total, steps = (mine if total is None else total + mine), steps + done
+
+        for b in batches:
+            for share, text in zip(b.column("share").to_pylist(), b.column("ids").to_pylist()):
+                if held and share != now:
+                    take()
+                    held = []
+                now = share
+                held.append(text)
+        if held:
+            take()
+        if steps:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64())), pa.array([steps])], ["weights", "steps"])
+
+    texts = docs.select("row_key", column).mapInArrow(cut, "share bigint, place bigint, ids binary")
+    learnt = stage(spread(texts, "share").sortWithinPartitions("share", "place", "ids").select("share", "ids").mapInArrow(learn, "weights array<bigint>, steps bigint"), "weights")
+    mean = learnt.select("steps", F.posexplode("weights").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), F.sum("steps").alias("steps")).orderBy("at").toArrow()
+    model = shared.value[1]
+    return model.load(mean["x"].to_numpy() / mean["steps"].to_numpy() / (1 << FINE)) if mean.num_rows else model
 
 
 def score(docs: DataFrame, counts: DataFrame, words: Lexicon, model: Gru, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -136,7 +136,9 @@ def test_gradients_and_carried_state():
             states.append(state)
         return -net.log_chances(np.concatenate(states), y.T.ravel())[0].sum() / 15
 
-    _, grads = net._window(x, y, h)
+    grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+    assert net._window(x, y, h, grads)[1] == 15
+    grads = {k: g / 15 for k, g in grads.items()}
     for k in net.p:
         i = tuple(int(r.integers(0, s)) for s in net.p[k].shape)
         i = (int(x[0, 0]), i[1]) if k == "x" else i
@@ -169,19 +171,29 @@ def test_language_model(llm, docs, texts):
     assert sum(r.score for r in away) > sum(r.base_score for r in away)
 
 
-def test_language_model_learns_from_every_word():
-    texts = [np.arange(1, 1001), np.arange(0), np.arange(5, 70)]
-    rows = op06_lm.passages_of(texts, 64, 0)
-    words = [w for t in texts for w in [*t.tolist(), 0]]
-    assert rows[:, 1:].ravel().tolist() == words + [0] * (-len(words) % 64)
-    assert rows[:, 0].tolist() == [0, *rows[:-1, -1].tolist()]
-
-
-@pytest.mark.parametrize("rows", [1, 64, 640])
-def test_language_model_learns_each_passage_once_a_round(rows):
-    passages = np.random.default_rng(2).integers(0, 64, (rows, 65)).astype(np.int32)
-    for turn in range(op06_lm.ROUNDS):
-        assert op06_lm.learn_once(Gru.fresh(np.arange(1, 65), 8, 0), passages, turn) == 2 * -(-rows // 64)
+def test_learning_carries_the_state_and_meets_every_word():
+    r = np.random.default_rng(1)
+    pattern = np.concatenate([np.concatenate((r.permutation(np.arange(1, 60))[:5].repeat(2), [0])) for _ in range(60000)])
+    net = Gru.fresh(np.bincount(pattern, minlength=64), 8, 0)
+    held = [np.concatenate((np.array([5, 5, 9, 9, 33, 33]), [0]))]
+    before = net.score(held)[0]
+    assert net.learn(pattern, 0.02) == -(-len(pattern) // (128 * 32)) and net.score(held)[0] > before + 1
+    for n in (0, 1, 31, 33, 130, 4097):
+        one = Gru.fresh(np.arange(1, 65), 8, 0)
+        seen, real = [], one._window
+        one._window = lambda x, y, h, g, seen=seen, real=real: (seen.append((x.copy(), y.copy())), real(x, y, h, g))[1]
+        text = r.integers(1, 64, n)
+        one.learn(text, 0.01)
+        x, y = (np.concatenate([w[i] for w in seen], 1).ravel() if n else text for i in (0, 1))
+        assert y[y >= 0].tolist() == text.tolist() and x[y >= 0][1:].tolist() == text[:-1].tolist()
+
+
+def test_language_model_is_the_same_in_any_layout(llm, docs):
+    def scores(df):
+        return sorted((r.doc_id, r.score) for r in op06_lm.score_documents(df).collect())
+
+    one, two = scores(docs.coalesce(1)), scores(docs.repartition(5, F.rand(3)))
+    assert [k for k, _ in one] == [k for k, _ in two] and np.allclose([x for _, x in one], [x for _, x in two], rtol=1e-9)
 
 
 def test_language_model_of_odd_rows(llm, monkeypatch):
