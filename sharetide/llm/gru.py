@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN, SPAN, LANES = 16, 32, 256  # units; steps of a truncated window; texts scored side by side
+HIDDEN, SPAN, LANES = 16, 32, 512  # units; steps of a truncated window; texts scored side by side
 LEARNT_LANES = 128  # stretches of a sequence learnt side by side
 
 
@@ -114,22 +114,40 @@ class Gru:
         before = np.concatenate((np.full((len(lanes), 1), self.end, np.int32), ids[:, :-1]), 1)
         before[begins] = self.end
         h = np.zeros((len(lanes), HIDDEN), np.float32)
+        keep = ~begins
         for a in range(0, int(length[0]), SPAN):
-            states, wheres = [], []
-            for t in range(a, min(a + SPAN, int(length[0]))):
-                active = int(np.searchsorted(-length, -t))
-                h = h[:active]
-                start = begins[:active, t]
-                if start.any():
-                    h = np.where(start[:, None], np.float32(0), h)
-                h, _ = self.step(before[:active, t], h)
-                states.append(h)
-                wheres.append(np.stack((np.arange(active), np.full(active, t))))
-            lane, t = np.concatenate(wheres, 1)
-            chance, _ = self.log_chances(np.concatenate(states), ids[lane, t])
-            out += np.bincount(doc[lane, t], chance, len(texts))
+            active = int(np.searchsorted(-length, -a))  # lanes come in order of length
+            window = slice(a, a + SPAN)
+            states, h = self._states(before[:active, window].T, keep[:active, window].T, h[:active])
+            here = (np.arange(a, a + states.shape[0])[:, None] < length[None, :active]).ravel()
+            chance, _ = self.log_chances(states.reshape(-1, HIDDEN)[here], ids[:active, window].T.ravel()[here])
+            out += np.bincount(doc[:active, window].T.ravel()[here], chance, len(texts))
         return out
 
+    def _states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after each of the words x (step by lane), of which those not to ``keep`` begin a text; and the last."""
+        n, u = HIDDEN, self.p["u"]
+        fed = self.p["x"][x] + self.p["b"]
+        keep = keep[:, :, None].astype(h.dtype)
+        states = np.empty((*x.shape, n), fed.dtype)
+        for t in range(len(x)):
+            h = h * keep[t]
+            through = h @ u
+            gates = fed[t, :, : 2 * n]
+            gates += through[:, : 2 * n]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            c = through[:, 2 * n :]
+            c *= gates[:, n:]
+            c += fed[t, :, 2 * n :]
+            np.tanh(c, out=c)
+            h -= c
+            h *= gates[:, :n]
+            h = np.add(h, c, out=states[t])
+        return states, h
+
     def learn(self, sequence: np.ndarray, rate: float) -> int:
         """Adam over texts in a row, each with its end, by truncated backpropagation; returns the number of steps.
 
