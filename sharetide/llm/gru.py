@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 HIDDEN, SPAN, LANES = 16, 32, 512  # units; steps of a truncated window; texts scored side by side
-LEARNT_LANES = 128  # stretches of a sequence learnt side by side
+LEARNT_LANES = 256  # stretches of a sequence learnt side by side
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

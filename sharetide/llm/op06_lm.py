@@ -30,7 +30,8 @@ from sharetide.session import spread, stage
 WIDTH, CLASSES = 32, 32  # the network knows WIDTH * CLASSES ids
 KNOWN = 1 << 18  # counts of so many words are sent to all tasks (2 MB of hashes); other words are joined
 RATE = 0.02
-SHARE, STRETCH = 1 << 20, 1 << 15  # words of a learner, about; of a text that go to the same one
+PREFIX = 19  # bits by which words are looked up
+SHARE, STRETCH = 1 << 21, 1 << 15  # words of a learner, about; of a text that go to the same one
 FINE = 24  # bits of a weight behind the point when weights are averaged
 PIECE = 4 << 20  # bytes of text scored together
 END = 1  # hash that stands for the end of a text
@@ -53,12 +54,21 @@ class Lexicon:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.ids = np.where(order < own, order + 1, self.rare).astype(np.int32)
+        # Hashes are spread evenly, so those with equal first bits are few; a search begins at the first of them.
+        self.first = np.searchsorted(self.words, np.arange(1 << PREFIX, dtype=np.uint64) << np.uint64(64 - PREFIX)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.first, len(words))).max())
+        self.padded = np.concatenate((self.words, np.zeros(self.most, np.uint64)))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Network id, count, and whether the word is here."""
-        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        here = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
-        return np.where(here, self.ids[at], self.rare) if len(self.words) else np.full(len(hashes), self.rare), np.where(here, self.counts[at], 0) if len(self.words) else np.zeros(len(hashes), np.int64), here
+        if not len(self.words):
+            return np.full(len(hashes), self.rare), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = self.first[hashes >> np.uint64(64 - PREFIX)]
+        for _ in range(self.most - 1):
+            at += self.padded[at] < hashes
+        at = np.minimum(at, len(self.words) - 1)
+        here = self.words[at] == hashes
+        return np.where(here, self.ids[at], self.rare), np.where(here, self.counts[at], 0), here
 
 
 def count_words(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -155,13 +165,15 @@ def score(docs: DataFrame, counts: DataFrame, words: Lexicon, model: Gru, key: s
             known = np.bincount(doc[here], minlength=n) + (lex.ends > 0)
             rares = np.bincount(doc[ids == lex.rare], minlength=n)
             away = np.flatnonzero(~here)
-            pair, first, times = np.unique(np.stack((doc[away].astype(np.uint64), w.hash[away])), axis=1, return_index=True, return_counts=True) if len(away) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            order = away[np.lexsort((w.hash[away], doc[away]))]
+            fresh = np.flatnonzero((np.diff(w.hash[order], prepend=~w.hash[order[:1]]) != 0) | (np.diff(doc[order], prepend=-1) != 0))
+            times, met = np.diff(np.append(fresh, len(order))), order[fresh]
             row = b.column("row_key").to_numpy()
-            m = pair.shape[1]
+            m = len(met)
             nothing = np.zeros(m)
             columns = {
-                "row_key": np.concatenate((row, row[pair[0].astype(np.int64)])),
-                "word": np.concatenate((row, pair[1].view(np.int64))),
+                "row_key": np.concatenate((row, row[doc[met]])),
+                "word": np.concatenate((row, w.hash[met].view(np.int64))),
                 "times": np.concatenate((np.zeros(n, np.int64), times)),
                 "n_tokens": np.concatenate((w.counts + 1, nothing.astype(np.int64))),
                 "n_known": np.concatenate((known, nothing.astype(np.int64))),

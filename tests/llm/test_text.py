@@ -173,12 +173,12 @@ def test_language_model(llm, docs, texts):
 
 def test_learning_carries_the_state_and_meets_every_word():
     r = np.random.default_rng(1)
-    pattern = np.concatenate([np.concatenate((r.permutation(np.arange(1, 60))[:5].repeat(2), [0])) for _ in range(60000)])
+    pattern = np.concatenate([np.concatenate((r.permutation(np.arange(1, 60))[:5].repeat(2), [0])) for _ in range(120000)])
     net = Gru.fresh(np.bincount(pattern, minlength=64), 8, 0)
     held = [np.concatenate((np.array([5, 5, 9, 9, 33, 33]), [0]))]
     before = net.score(held)[0]
-    assert net.learn(pattern, 0.02) == -(-len(pattern) // (128 * 32)) and net.score(held)[0] > before + 1
-    for n in (0, 1, 31, 33, 130, 4097):
+    assert net.learn(pattern, 0.02) == -(-len(pattern) // (256 * 32)) and net.score(held)[0] > before + 1
+    for n in (0, 1, 31, 33, 130, 9000):
         one = Gru.fresh(np.arange(1, 65), 8, 0)
         seen, real = [], one._window
         one._window = lambda x, y, h, g, seen=seen, real=real: (seen.append((x.copy(), y.copy())), real(x, y, h, g))[1]
