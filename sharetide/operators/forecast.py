@@ -184,6 +184,18 @@ def forecast_all(
     )
 
 
+def forecast_statuses(series: DataFrame, wanted: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``n`` and ``status`` of every wanted (brand, region): whether it can be forecast, and if not, why.
+
+    A series has a fit if the models can be fitted to the whole of it; one with missing shares has none.
+    """
+    counts = series.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n"))
+    fitted = model_forecasts(series, 1, s).select(*SERIES, F.lit(True).alias("_fitted"))
+    asked = wanted.select(*SERIES).distinct().join(counts, list(SERIES), "left").join(fitted, list(SERIES), "left")
+    status = forecast_status(F.col("n"), F.coalesce("_fitted", F.lit(False)), s.min_history)
+    return asked.select(*SERIES, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), status.alias("status"))
+
+
 def drift_ar_coefficients(series: DataFrame) -> DataFrame:
     """ARIMA(1,1,0) with drift by native regression: slope and intercept of each change on the
     change before it."""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sharetide.functions.dates import next_year_weeks
+from sharetide.functions.dates import next_year_weeks, year_week
 from sharetide.operators import forecast as fc
 from sharetide.registry import query, sql
 from sharetide.registry.market import gold
 from sharetide.session import stage
 from sharetide.sources import star_tables as st
+from sharetide.streaming.feed_stream import week_totals
 
 _SERIES = (
     "series AS (SELECT clean_brand, clean_region, year_week, market_share_trx_pct FROM shares UNION ALL "
@@ -50,8 +52,6 @@ def forecasts(spark, sf, **kw):
     + " FROM d",
 )
 def _(spark, sf):
-    from sharetide.functions.dates import year_week
-
     label = year_week(F.col("l_shipdate").cast("date"), clamp53=False)
     lines = st.line_items(spark, sf).select("l_orderkey", "l_shipdate").distinct()
     ahead = lines.select("l_orderkey", label.alias("label")).withColumn("w", next_year_weeks(F.col("label"), 4))
@@ -126,21 +126,40 @@ def _(spark, sf):
     )
 
 
-_SHORT = "profile2 AS (SELECT clean_brand, clean_region, count(*) AS n FROM series WHERE year_week >= '2001-W' || lpad(CAST(36 + 2 * (length(clean_brand) - 5) AS VARCHAR), 2, '0') GROUP BY ALL)"
+# The weekly shares; the few weeks of the events; and large returns against sales, which some weeks do not have.
+_ASKED = (
+    "observed AS (SELECT clean_brand, clean_region, market_share_trx_pct AS v FROM series UNION ALL "
+    "SELECT event_type, 'R' || CAST(user_id % 5 AS VARCHAR), 1.0 FROM events GROUP BY event_type, user_id % 5, date_trunc('week', ts) UNION ALL "
+    "SELECT 'RETURNS', clean_region, sum(clean_trx) FILTER (l_returnflag = 'R' AND clean_trx = 50) / sum(clean_trx) FILTER (l_returnflag = 'N') FROM facts GROUP BY clean_region, year_week), "
+    "counts AS (SELECT clean_brand, clean_region, count(*) AS n, count(v) AS good FROM observed GROUP BY ALL), "
+    f"asked AS (SELECT clean_brand, clean_region FROM counts UNION SELECT p_brand, r_name FROM {sql.STAR})"
+)
 
 
 @query(
     "forecast_status",
     _over(
-        "SELECT clean_brand, clean_region, n, CASE WHEN n < 6 THEN 'Forecast unavailable — insufficient historical data.' "
-        "ELSE 'ARIMA_MODEL_FIT' END AS status FROM profile2",
-        extra=_SHORT,
+        "SELECT clean_brand, clean_region, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'Forecast unavailable — no historical data for selected brand/region.' "
+        "WHEN n < 6 THEN 'Forecast unavailable — insufficient historical data.' WHEN good < n THEN 'Forecast unavailable — statistical fit error.' "
+        "ELSE 'ARIMA_MODEL_FIT' END AS status FROM asked LEFT JOIN counts USING (clean_brand, clean_region)",
+        extra=_ASKED,
     ),
 )
 def _(spark, sf):
-    start = F.concat(F.lit("2001-W"), F.lpad((F.lit(36) + 2 * (F.length("clean_brand") - 5)).cast("string"), 2, "0"))
-    counts = series(spark, sf).filter(F.col("year_week") >= start).groupBy("clean_brand", "clean_region").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("status", fc.forecast_status(F.col("n"), F.lit(True)))
+    """Whole series of three kinds, and brands that have none, so that all four statuses occur."""
+    share, names = F.col("market_share_trx_pct"), ["clean_brand", "clean_region", "year_week", "market_share_trx_pct"]
+    weekly = series(spark, sf)
+    events = week_totals(st.event_facts(st.table(spark, sf, "events")))
+    total = F.sum("brand_trx").over(Window.partitionBy("week_start", "clean_region"))
+    short = events.withColumn("market_share_trx_pct", F.col("brand_trx") / total * 100.0).withColumn("year_week", year_week(F.col("week_start").cast("date")))
+    facts = st.facts(spark, sf)
+    trx, back = F.col("clean_trx"), F.col("l_returnflag")
+    returned, sold = F.sum(F.when((back == "R") & (trx == 50), trx)), F.sum(F.when(back == "N", trx))
+    returns = facts.groupBy("clean_region", "year_week").agg((returned / sold).alias("market_share_trx_pct")).withColumn("clean_brand", F.lit("RETURNS"))
+    every = weekly.unionByName(short.select(*names).unionByName(returns.select(*names)).withColumn("tie", F.lit("")))
+    every = stage(every.withColumn("market_share_trx_pct", share.cast("double")), "observed")
+    asked = every.select("clean_brand", "clean_region").unionByName(st.facts(spark, sf, brand="p_brand").select("clean_brand", "clean_region"))
+    return fc.forecast_statuses(every, asked)
 
 
 @query(
@@ -163,8 +182,6 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    from pyspark.sql import Window
-
     in_order = Window.partitionBy("clean_brand", "clean_region").orderBy("year_week")
     share = F.col("market_share_trx_pct")
     pairs = series(spark, sf).select(

@@ -239,7 +239,16 @@ def _(spark, sf):
     return alerts.generate_alerts(gold(spark, sf))[1].drop("executive_brief")
 
 
-@query("alert_brief")
+_NAME = "CASE alert_category WHEN 'REGIONAL SHARE DECLINE' THEN 'Regional Share Decline' ELSE 'Regional Growth Spike' END"
+
+
+@query(
+    "alert_brief",
+    _chain(
+        (*sql.SHARE_TEXT, f"printf('%s for %s in %s (Shift: %+.2f pp / %+.0f bps). Current Share: %.2f%%.', {_NAME}, clean_brand, clean_region, round(share_shift_pp, 2), round(share_shift_bps), round(market_share_trx_pct, 2)) AS executive_brief"),
+        (), "alerts WHERE alert_category <> 'NORMAL'", "alerts",
+    ),
+)
 def _(spark, sf):
     return alerts.generate_alerts(gold(spark, sf))[1].select(*sql.SHARE_TEXT, "executive_brief")
 
