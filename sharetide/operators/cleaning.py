@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sharetide.config import REGION_ALIASES, UNKNOWN, Settings
@@ -16,6 +16,7 @@ from sharetide.functions.dates import (
 )
 from sharetide.functions.numbers import flag, parse_number, parse_number_lenient
 from sharetide.functions.text import clean_string, normalise_label, normalise_region, trimmed
+from sharetide.operators.selection import covers, ranked
 from sharetide.schemas import FEED_FIELDS, MEASURES, SERIES_KEYS, require
 from sharetide.session import stage
 
@@ -207,8 +208,8 @@ def group_medians(
     """Exact median of every measure per group, as columns ``_median_<measure>``.
 
     Rows are first collapsed to (group, measure, value, copies) with a map-side combine, which
-    spreads a hot group over its distinct values.  The running count over those is a streaming
-    window: it never holds a group in memory.
+    spreads a hot group over its distinct values; those are ranked in ranges, so no task has all
+    values of a large group.
     """
     pairs = F.array(
         *[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
@@ -220,17 +221,9 @@ def group_medians(
         .groupBy(*keys, "measure", "value")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    group = Window.partitionBy(*keys, "measure")
-    totals = values.groupBy(*keys, "measure").agg(F.sum("copies").alias("total"))
-    ranked = values.withColumn(
-        "upto", F.sum("copies").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ).join(totals, [*keys, "measure"])
+    placed = ranked(values, [*keys, "measure"])
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-
-    def covers(rank: Column) -> Column:
-        return (F.col("upto") > rank) & (F.col("upto") - F.col("copies") <= rank)
-
-    middle = ranked.filter(covers(low) | covers(high)).groupBy(*keys, "measure").agg(
+    middle = placed.filter(covers(low) | covers(high)).groupBy(*keys, "measure").agg(
         F.avg("value").alias("median")
     )
     picked = [F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"_median_{m}") for m in measures]

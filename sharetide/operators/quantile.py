@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sharetide.operators.selection import covers, ranked
+
 
 def exact_quantile(df: DataFrame, column: str, p: float, accuracy: int = 10_000) -> float | None:
     """Linearly interpolated quantile, as ``numpy.percentile`` defines it.
 
     A mergeable sketch brackets the answer, one aggregation counts what lies below the bracket,
-    and only the values inside it, collapsed to (value, copies), are ranked.  ``df`` is read
+    and only the values inside it, collapsed to (value, copies), are ranked, range by range.  ``df`` is read
     three times, so hand in a stored table.
     """
     x = F.col(column)
@@ -34,6 +36,8 @@ def exact_quantile(df: DataFrame, column: str, p: float, accuracy: int = 10_000)
         below, within = inside(low, high)
     if within <= 1:
         return float(low)
-    rank = min(max((position - below) / (within - 1), 0.0), 1.0)
-    copies = df.filter(x.between(low, high)).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return float(copies.agg(F.percentile("v", F.lit(rank), F.col("n"))).first()[0])
+    copies = df.filter(x.between(low, high)).groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("copies"))
+    first = min(max(int(position) - below, 0), within - 1)
+    ranks = (first, min(first + 1, within - 1))
+    near = ranked(copies, []).filter(covers(F.lit(ranks[0])) | covers(F.lit(ranks[1]))).select("value").orderBy("value").collect()
+    return float(near[0][0] + (position - int(position)) * (near[-1][0] - near[0][0]))
