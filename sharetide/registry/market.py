@@ -10,6 +10,7 @@ from sharetide.operators import alerts, detectors, share, shift
 from sharetide.operators.forest import fit_and_score, isolation_forest
 from sharetide.plans.weekly import gold_from_clean
 from sharetide.registry import query, sql
+from sharetide.session import stage
 from sharetide.sources import star_tables as st
 
 
@@ -144,6 +145,31 @@ def _(spark, sf):
     return shift.share_shifts(share.market_share(facts))
 
 
+_MONDAY = "CAST(date_trunc('week', make_date(CAST(left(year_week, 4) AS INT), 1, 4)) AS DATE) + (CAST(right(year_week, 2) AS INT) - 1) * 7"
+_OVER_WEEKS = (
+    f"spine AS (SELECT DISTINCT {sql.SERIES}, {sql.label('day')} AS year_week FROM (SELECT {sql.SERIES}, "
+    f"unnest(generate_series(CAST(min({_MONDAY}) AS TIMESTAMP), CAST(max({_MONDAY}) AS TIMESTAMP), INTERVAL 7 DAY)) AS day FROM known GROUP BY {sql.SERIES})), "
+    f"shares AS (SELECT *, known.market_share_trx_pct IS NULL AS is_gap FROM spine LEFT JOIN known USING ({sql.SERIES}, year_week)), "
+    f"shifts AS ({sql.SHIFTS}), base AS ({sql.baseline()}), bounds AS ({sql.BOUNDS}), detected AS ({sql.DETECTORS})"
+)
+_WEEK_NUMBERS = ("market_share_trx_pct", "share_shift_pp", *sql.BASE_NUMBERS, "statistical_z_score")
+
+
+@query(
+    "baseline_over_weeks",
+    sql.analytics(
+        f"SELECT {sql.pick((*sql.SHARE_TEXT, *sql.FLAGS), _WEEK_NUMBERS)} FROM detected WHERE NOT is_gap",
+        sql.facts(brand="p_brand", category="'A'"), upto="shares", extra=f"known AS (SELECT * FROM shares), {_OVER_WEEKS.replace('shares AS (', 'filled AS (', 1).replace('FROM shares)', 'FROM filled)')}",
+    ),
+)
+def _(spark, sf):
+    """Series with missing weeks: shifts and baselines over weeks of the calendar."""
+    facts = st.facts(spark, sf, brand="p_brand").withColumn("clean_therapeutic_area", F.lit("A"))
+    filled = shift.fill_gaps(stage(share.market_share(facts), "shares"))
+    found = detectors.rules_only(shift.share_shifts(filled)).filter("NOT is_gap")
+    return found.select(*sql.SHARE_TEXT, *sql.FLAGS, *_WEEK_NUMBERS)
+
+
 @query("rolling_mean_std", _chain(sql.SHARE_TEXT, sql.BASE_NUMBERS[:2], "base", "base"))
 def _(spark, sf):
     return detectors.trailing_baseline(shifts(spark, sf)).select(*sql.SHARE_TEXT, *sql.BASE_NUMBERS[:2])

@@ -183,3 +183,18 @@ def test_slice_switches_off_on_all(spark):
     gold = gold_from_clean(facts(spark, ("2025-W01", "A", 1.0), ("2025-W01", "B", 1.0)))
     assert rollups.slice_gold(gold, "All Regions", "All Therapeutic Areas").count() == 2
     assert rollups.slice_gold(gold, brand="A").count() == 1
+
+
+def test_gaps_are_filled_by_week_and_baselines_reach_over_weeks(spark):
+    weeks = {"A": ["2015-W51", "2015-W52", "2016-W01", "2016-W04", "2016-W05"], "B": ["2016-W02"]}
+    rows = [(w, "TN", "C", b, 10.0 + i, 1.0) for b, ws in weeks.items() for i, w in enumerate(ws)]
+    schema = "year_week string, clean_region string, clean_therapeutic_area string, clean_brand string, market_share_trx_pct double, other double"
+    shares = spark.createDataFrame([*rows, ("bad", "TN", "C", "Z", 1.0, 1.0)], schema)
+    filled = shift.fill_gaps(shares)
+    assert sorted((r.clean_brand, r.year_week) for r in filled.where("is_gap").collect()) == [("A", "2016-W02"), ("A", "2016-W03")]
+    assert filled.where("NOT is_gap").count() == 7 and filled.columns == [*shares.columns, "is_gap"]
+    found = {r.year_week: r.share_shift_pp for r in shift.share_shifts(filled).where("clean_brand = 'A' AND NOT is_gap").collect()}
+    assert found == {"2015-W51": None, "2015-W52": 1.0, "2016-W01": 1.0, "2016-W04": None, "2016-W05": 1.0}
+    mean = {r.year_week: r.prev_3wk_rolling_mean_pp for r in detectors.trailing_baseline(shift.share_shifts(filled)).where("clean_brand = 'A'").collect()}
+    assert mean["2016-W03"] == 1.0 and mean["2016-W05"] is None
+    assert shift.fill_gaps(shares.where("false")).count() == 0
