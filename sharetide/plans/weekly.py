@@ -20,6 +20,7 @@ from sharetide.operators.detectors import gold
 from sharetide.operators.quality import audit_counts, dq_report_long, dq_summary
 from sharetide.operators.share import market_share, share_sum_check
 from sharetide.operators.shift import share_shifts
+from sharetide.schemas import enforced
 from sharetide.session import stage
 from sharetide.sources.feeds import restandardise, table_or_none
 from sharetide.sources.sinks import (
@@ -117,12 +118,13 @@ def layers(run: WeeklyRun) -> dict[str, DataFrame]:
 def write_layers(run: WeeklyRun, root: str) -> dict[str, DataFrame]:
     """Replace the five stored tables under ``root`` and return them as stored.
 
+    A layer with a wrong type is refused before anything is written, and a null key stops its writing.
     Quarantined rows may lack a week, and the raw feed has none, so only clean, gold and alerts
     are partitioned by week.
     """
     spark = run.raw.sparkSession
     stored = {}
-    for name, df in layers(run).items():
+    for name, df in {n: enforced(df, n) for n, df in layers(run).items()}.items():
         write_table(df, f"{root}/{name}", weekly=name in (CLEAN_TABLE, GOLD_TABLE, ALERT_TABLE))
         stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}").select(*df.columns)
     return stored

@@ -72,6 +72,43 @@ GOLD_KEYS = ("year_week", "clean_region", "clean_therapeutic_area", "clean_brand
 MEASURES = ("clean_trx", "clean_nrx", "clean_units")
 
 
+# What the stored layers must hold at least: columns with their types, and those of them that are never null.
+LAYERS: dict[str, tuple[T.StructType, tuple[str, ...]]] = {
+    "prescriptions_raw": (FEED, ()),
+    "prescriptions_clean": (
+        _struct(*[(n, STR) for n in ("iso_date", *GOLD_KEYS)], *[(m, DBL) for m in MEASURES]),
+        ("iso_date", *GOLD_KEYS),
+    ),
+    "quarantine_records": (_struct(("rejection_reason", STR), ("raw_payload", STR)), ("rejection_reason", "raw_payload")),
+    "market_share_gold": (
+        _struct(
+            *[(n, STR) for n in GOLD_KEYS],
+            *[(n, DBL) for n in ("market_share_trx_pct", "share_shift_pp", "prev_market_share_pp", "statistical_z_score")],
+            ("combined_anomaly", BOOL), ("triggered_techniques", STR),
+        ),
+        (*GOLD_KEYS, "triggered_techniques"),
+    ),
+    "threshold_alerts": (
+        _struct(*[(n, STR) for n in GOLD_KEYS], ("alert_category", STR), ("share_shift_pp", DBL), ("executive_brief", STR)),
+        (*GOLD_KEYS, "alert_category", "share_shift_pp"),
+    ),
+}
+
+
+def enforced(df: DataFrame, layer: str) -> DataFrame:
+    """``df`` if it has the layer's columns in their types; writing it then fails at a null where none may be.
+
+    Columns beyond the layer's own are let through.
+    """
+    schema, never_null = LAYERS[layer]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wrong = [f"{f.name} ({types[f.name].simpleString() if f.name in types else 'missing'}, not {f.dataType.simpleString()})" for f in schema.fields if types.get(f.name) != f.dataType]
+    if wrong:
+        raise ValueError(f"{layer} has wrong columns: {', '.join(wrong)}")
+    checks = {n: F.coalesce(F.col(n), F.raise_error(F.lit(f"{layer}: {n} is null"))) for n in never_null}
+    return df.withColumns(checks) if checks else df
+
+
 def require(df: DataFrame, *names: str) -> None:
     """Fail at plan time, with a readable message, when an input column is missing."""
     missing = [n for n in names if n not in df.columns]

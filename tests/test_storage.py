@@ -455,3 +455,18 @@ def test_week_totals_start_on_monday_with_and_without_watermark(spark):
     for watermark in (None, "1 day"):
         got = {r.week_start: r.brand_trx for r in fs.week_totals(events, watermark=watermark).collect()}
         assert got == {"2024-01-01": 1.0, "2024-01-08": 2.0}
+
+
+def test_layers_are_checked_when_they_are_written(spark):
+    import dataclasses
+
+    run = weekly.weekly_run(feed(spark, *[{"date": f"2025-01-{6 + 7 * i:02d}", "week_number": None, "trx": str(5000 + i)} for i in range(4)]), staged=True)
+    wrong = dataclasses.replace(run, cleaned=run.cleaned.withColumn("clean_trx", F.col("clean_trx").cast("string")).drop("iso_date"))
+    root = fresh_path(spark, "refused")
+    with pytest.raises(ValueError, match="iso_date .missing, not string.*clean_trx .string, not double"):
+        weekly.write_layers(wrong, root)
+    assert not os.path.exists(root.removeprefix("file:"))
+    holes = dataclasses.replace(run, gold=run.gold.withColumn("clean_brand", F.when(F.col("year_week") != "2025-W03", F.col("clean_brand"))))
+    with pytest.raises(Exception, match="clean_brand is null"):
+        weekly.write_layers(holes, fresh_path(spark, "holes"))
+    assert weekly.write_layers(run, fresh_path(spark, "good"))["market_share_gold"].count() == 4
