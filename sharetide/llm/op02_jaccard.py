@@ -5,9 +5,10 @@ so pivots alone would send every document to every region.  Documents are theref
 bundles outside which no link can lie, then each bundle is joined in the metric space:
 
 1. Documents with equal sets are one class.  Each class deals its shingles into more parts than two
-   linked sets can differ in, so linked sets agree in at least one part that is not empty; the parts are keys.
-   (Sets under ``SMALL`` shingles use the smallest hashes as keys, of which linked sets share one.)
-2. Classes joined by keys, directly or not, make up a bundle.
+   linked sets can differ in, so linked sets agree in at least one part; parts that are not empty are keys.  A set
+   with so few full parts that an empty one may be all that agrees has its smallest hashes as keys too.
+2. Classes joined by keys, directly or not, make up a bundle.  In bundles too large for one task the classes of
+   a key are joined only if sketches, whose distance is never above that of the sets, allow a link.
 3. A bundle's pivots create Voronoi regions.  A class belongs to the region of its nearest pivot and is
    repeated in each region whose pivot is not farther by more than twice the distance limit: by the triangle
    inequality every link of a class lies in its own region.  Regions join recursively, the small ones by matrix
@@ -31,11 +32,12 @@ from sharetide.llm.seeds import first_words, member_filter
 from sharetide.llm.textmath import Words, inner, mix, pieces, ragged, windows_of, words_of
 from sharetide.session import stage
 
-SMALL = 96
 REGION = 6000  # classes joined in one task; larger bundles are dealt out by pivots
-LEAF, PIVOTS = 1024, 8
+LEAF, PIVOTS = 64, 8
 COLUMNS = 4096  # shingles multiplied at a time
 BLOCK = 512
+DEAL_AGAIN = 6  # another way of dealing shingles into parts
+GROUP = 64  # classes of a key that are compared by sketches; those of a commoner key are joined as they are
 RARE = 16  # a shingle of so few sets of a region is counted by its pairs, all others by matrix products
 
 
@@ -74,40 +76,44 @@ def rings(top: int, percent: int) -> np.ndarray:
     return np.array([*borders, borders[-1] * 100 // percent + 1])
 
 
-def keys_of(value: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the sets they belong to.  Linked sets have a key in common unless they are equal."""
+def keys_of(value: np.ndarray, first: np.ndarray, percent: int, deal: int = 5, steps: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the sets they belong to.  Linked sets have a key in common unless they are equal.
+
+    Linked sets differ in at most ``differ`` shingles, so in as many of more parts; another part is equal in both and
+    a key, unless it is empty.  Only if both have ``differ`` full parts or fewer can all equal parts be empty: such
+    sets have their smallest hashes as keys too, of which linked sets share one.
+    """
     size = np.diff(first)
     if not len(value):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     borders = rings(int(size.max()), percent)
     ring = np.searchsorted(borders, size, side="right") - 1
     owner = np.repeat(np.arange(len(size)), size)
+    dealt = mix(value + np.uint64(deal)) >> np.uint64(32)
     keys, owners = [], []
-    for step in (0, 1):  # with sets of the ring below, and of the ring above
+    for step in steps:  # with sets of the ring below, and of the ring above
         level = ring + step
         most = borders[np.minimum(level + 1, len(borders) - 1)] - 1  # largest set of this level
         salt = mix(level.astype(np.uint64) + np.uint64(77))
         differ = 2 * most * (100 - percent) // (100 + percent)
-        parts = np.where(most < SMALL, 0, differ + differ // 8 + 8)
-        cut = np.flatnonzero(parts[owner] > 0)
-        if len(cut):
-            own = owner[cut]
-            offset = np.cumsum(parts) - parts
-            place = offset[own] + (mix(value[cut] + np.uint64(5)) % parts[own].astype(np.uint64)).astype(np.int64)
-            total = np.zeros(int(parts.sum()), np.uint64)
-            np.add.at(total, place, mix(value[cut]))
-            holder = np.repeat(np.arange(len(size)), parts)
-            full = np.flatnonzero(total)
-            number = (full - offset[holder[full]]).astype(np.uint64)
-            keys.append(mix(total[full] + mix(salt[holder[full]] + number)))
-            owners.append(holder[full])
-        small = np.flatnonzero((parts == 0) & (size > 0))
-        if len(small):
-            length = size[small] - -(-size[small] * percent // 100) + 1
-            at = ragged(first[small], length)
-            holder = np.repeat(small, length)
-            keys.append(mix(value[at] + salt[holder]))
-            owners.append(holder)
+        parts = np.where((differ > 0) & (size > 0), differ + 2 + differ // 16, 0)  # no difference: equal sets, one class
+        cut = parts[owner] > 0
+        own = owner[cut]
+        offset = np.cumsum(parts) - parts
+        place = offset[own] + ((dealt[cut] * parts[own].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        total = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(total, place, mix(value[cut]))
+        holder = np.repeat(np.arange(len(size)), parts)
+        full = np.flatnonzero(total)
+        number = (full - offset[holder[full]]).astype(np.uint64)
+        keys.append(mix(total[full] + mix(salt[holder[full]] + number)))
+        owners.append(holder[full])
+        partner = np.minimum(most, size * 100 // percent)  # largest set that this one can be linked with here
+        few = np.flatnonzero((parts > 0) & (np.bincount(holder[full], minlength=len(size)) <= (size + partner) * (100 - percent) // (100 + percent)))
+        length = size[few] - -(-size[few] * percent // 100) + 1
+        holder = np.repeat(few, length)
+        keys.append(mix(value[ragged(first[few], length)] + mix(salt[holder])))
+        owners.append(holder)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -260,6 +266,101 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "class bigint, other bigint, n_links bigint")
 
 
+def sketches(value: np.ndarray, first: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of shingles by cell (255 at most), ``width`` cells a set, all in a row; and where each set's begin.
+
+    A shingle that one set alone has changes one cell by one: the cells of two sets differ, in sum, by no more than the sets.
+    """
+    begin = np.concatenate(([0], np.cumsum(width)))
+    owner = np.repeat(np.arange(len(width)), np.diff(first))
+    cell = ((mix(value + np.uint64(31)) >> np.uint64(32)) * width[owner].astype(np.uint64)) >> np.uint64(32)
+    return np.minimum(np.bincount(begin[owner] + cell.astype(np.int64), minlength=begin[-1]), 255).astype(np.uint8), begin
+
+
+def sketch_pairs(seed: np.ndarray, size: np.ndarray, sketch: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows of one seed (rows are in its order) whose sketches allow a link."""
+    width = np.array([len(x) for x in sketch])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        cells = np.frombuffer(b"".join(sketch[i] for i in rows.tolist()), np.uint8).reshape(len(rows), w).astype(np.int16)
+        for step in range(1, GROUP):
+            same = np.flatnonzero(seed[rows[step:]] == seed[rows[:-step]])
+            if not len(same):
+                break
+            for part in np.array_split(same, len(same) * w // (1 << 22) + 1):
+                apart = np.abs(cells[part] - cells[part + step]).sum(1)
+                a, b = rows[part], rows[part + step]
+                near = apart <= (size[a] + size[b]) * (100 - percent) // (100 + percent)
+                left.append(a[near])
+                right.append(b[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _refine(large: DataFrame, percent: int) -> DataFrame:
+    """Bundles (``class``, ``bundle``, ``n``) of the classes in ``large``, apart wherever no link can lie.
+
+    Other keys are dealt, and of the classes of a key only those pairs are joined whose sketches differ by no more than
+    linked sets of their sizes can.  The classes of a key met more than ``GROUP`` times are all joined.  Classes that
+    nothing is joined with have no links and are left out.
+    """
+
+    def sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = b.column("shingles")
+        return lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+
+    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seed, owner = keys_of(*sets(b), percent, DEAL_AGAIN)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), b.column("class").take(pa.array(owner))], ["seed", "class"])
+
+    stored = large.select("class", "shingles")
+    keys = stored.mapInArrow(key_rows, "seed bigint, class bigint")
+    by_key = stage(keys.groupBy("seed").agg(F.min("class").alias("low"), F.count("*").alias("n")).where("n > 1"), "refined-keys")
+    few, many = by_key.where(F.col("n") <= GROUP).select("seed"), by_key.where(F.col("n") > GROUP).select("seed", "low")
+    wanted = member_filter(few)
+
+    def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value, first = sets(b)
+            size = np.diff(first)
+            borders = rings(int(size.max(initial=1)), percent)
+            ring = np.searchsorted(borders, size, side="right") - 1
+            for step in (0, 1):  # sets of one key are of one level, so their sketches have one width
+                seed, owner = keys_of(value, first, percent, DEAL_AGAIN, (step,))
+                hit = np.flatnonzero(wanted(seed))
+                seed, owner = seed[hit], owner[hit]
+                cells, begin = sketches(value, first, np.maximum(8, borders[ring + step + 1] // 6))
+                sketch = pa.array([cells[begin[i] : begin[i + 1]].tobytes() for i in range(len(size))], pa.binary())
+                for x in range(0, len(owner), 20_000):
+                    at = pa.array(owner[x : x + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(seed[x : x + 20_000].view(np.int64)), b.column("class").take(at), pa.array(size[owner[x : x + 20_000]]), sketch.take(at)], ["seed", "class", "size", "sketch"])
+
+    def join_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            seed, held, size = (rows.column(c).to_numpy() for c in ("seed", "class", "size"))
+            a, b = sketch_pairs(seed, size, rows.column("sketch").to_pylist(), percent)
+            found = np.unique(np.stack((held[a], held[b])), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+        kept = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            if rows.num_rows:
+                end = int(first_words(rows.column("seed").to_numpy())[-1])  # the last key may go on in the next batch
+                yield pairs(rows.slice(0, end))
+                kept = rows.slice(end)
+        if kept is not None:
+            yield pairs(kept)
+
+    sketched = stored.mapInArrow(sketch_rows, "seed bigint, class bigint, size bigint, sketch binary").join(few, "seed", "left_semi")
+    near = sketched.repartition("seed").sortWithinPartitions("seed").mapInArrow(join_keys, "a bigint, b bigint")
+    common = keys.join(many, "seed").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    bundles = stage(components(near.union(common)).select(F.col("v").alias("class"), F.col("root").alias("bundle")), "refined")
+    return stage(bundles.join(bundles.groupBy("bundle").agg(F.count("*").alias("n")), "bundle"), "refined-sized")
+
+
 def _regions(large: DataFrame, percent: int, limit: int) -> DataFrame:
     """Rows ``task, class, core, right, shingles`` of bundles over ``limit``, dealt out by pivots.
 
@@ -319,8 +420,9 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
 
     def key_rows(b, value, first, ids):
         found, owner = keys_of(value, first, percent)
-        order = np.lexsort((ids[owner], found))
-        found, held = found[order], ids[owner[order]]
+        held = ids[owner]
+        order = np.lexsort((found, held))  # a class's keys side by side: it is packed better on its way
+        found, held = found[order], held[order]
         keep = np.concatenate(([True], (found[1:] != found[:-1]) | (held[1:] != held[:-1]))) if len(found) else np.zeros(0, bool)
         yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(held[keep])], ["seed", "class"])
 
@@ -342,6 +444,9 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
 
         return _sets(docs, column, words, set_rows, "class bigint, shingles array<bigint>").join(of, "class")
 
+    def whole_bundles(sets: DataFrame) -> DataFrame:
+        return sets.select(F.col("bundle").alias("task"), "class", F.lit(True).alias("core"), F.lit(True).alias("right"), F.lit(False).alias("both"), "shingles")
+
     classes = stage(_sets(docs, column, words, class_rows, f"{key} {key_type}, n_shingles bigint, class bigint", key), "classes")
     # Keys are dealt out bare: nearly all are met once, so partial aggregates would only be wider rows.
     by_key = _sets(docs, column, words, key_rows, "seed bigint, class bigint").repartition("seed").groupBy("seed").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
@@ -353,13 +458,18 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
     bundles = stage(components(edges).select(F.col("v").alias("class"), F.col("root").alias("bundle")), "bundles")
     sized = stage(bundles.join(bundles.groupBy("bundle").agg(F.count("*").alias("n")), "bundle"), "sized")
     free_shuffles(docs.sparkSession)
-    whole = members(sized.where(F.col("n") <= limit)).select(F.col("bundle").alias("task"), "class", F.lit(True).alias("core"), F.lit(True).alias("right"), F.lit(False).alias("both"), "shingles")
-    linked = stage(_join_regions(whole, percent), "links")
+    linked = stage(_join_regions(whole_bundles(members(sized.where(F.col("n") <= limit))), percent), "links")
     free_shuffles(docs.sparkSession)
     if not sized.where(F.col("n") > limit).isEmpty():
-        large = stage(members(sized.where(F.col("n") > limit)).groupBy("class", "bundle", "n").agg(F.first("shingles").alias("shingles")), "large")
-        linked = linked.unionByName(stage(_join_regions(_regions(large, percent, limit), percent), "links"))
+        large = stage(members(sized.where(F.col("n") > limit)).groupBy("class").agg(F.first("shingles").alias("shingles")), "large")
+        refined = _refine(large, percent)
         free_shuffles(docs.sparkSession)
+        parts = [whole_bundles(large.join(refined.where(F.col("n") <= limit), "class"))]
+        if not refined.where(F.col("n") > limit).isEmpty():
+            parts.append(_regions(large.join(refined.where(F.col("n") > limit), "class"), percent, limit))
+        for rows in parts:
+            linked = linked.unionByName(stage(_join_regions(rows, percent), "links"))
+            free_shuffles(docs.sparkSession)
     counts = linked.groupBy("class").agg(F.sum("n_links").alias("n_links"))
     roots = stage(components(linked.select(F.col("class").alias("a"), F.col("other").alias("b"))), "components")
     rows = classes.join(counts, "class", "left").join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
