@@ -421,7 +421,7 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
     def key_rows(b, value, first, ids):
         found, owner = keys_of(value, first, percent)
         held = ids[owner]
-        order = np.lexsort((found, held))  # a class's keys side by side: it is packed better on its way
+        order = np.lexsort((held, found))
         found, held = found[order], held[order]
         keep = np.concatenate(([True], (found[1:] != found[:-1]) | (held[1:] != held[:-1]))) if len(found) else np.zeros(0, bool)
         yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(held[keep])], ["seed", "class"])
