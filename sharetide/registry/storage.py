@@ -11,7 +11,7 @@ from sharetide.plans.incremental import refresh
 from sharetide.plans.weekly import gold_from_clean, layers, load_or_compute, recompute_from_store, weekly_run, write_layers
 from sharetide.registry import query, sql
 from sharetide.registry.cleaning import S, feed, processed
-from sharetide.schemas import FEED_FIELDS
+from sharetide.schemas import CLEAN_STORE, FEED_FIELDS
 from sharetide.session import fresh_path, stage
 from sharetide.sources import feeds, sinks
 from sharetide.sources import star_tables as st
@@ -224,7 +224,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return _appended_twice(spark, sinks.clean_store_rows(impute_group_median(valid_rows(processed(spark, sf)))), F.left("year_week", F.lit(4)) < "1999")
+    valid = valid_rows(processed(spark, sf))
+    valid = stage(valid.select(*[c for c in CLEAN_STORE.names if c in valid.columns]), "valid")  # read three times, worked out once
+    return _appended_twice(spark, sinks.clean_store_rows(impute_group_median(valid)), F.left("year_week", F.lit(4)) < "1999")
 
 
 _REPLACED = (

@@ -192,18 +192,20 @@ class DeliveryStore(Folders):
         and the next try starts afresh.
         """
         now = self.manifest()
-        folder = self.new_folder(now.number + 1)
         if now.schema is not None and T.StructType.fromJson(json.loads(now.schema)) != rows.schema:
             raise ValueError(f"delivery {delivery} has other columns than the store")
+        known = now.facts.get(delivery)
+        if known is not None:  # nothing is written for a delivery that comes again
+            if fingerprint(rows) == dict(known):
+                return False
+            raise ValueError(f"delivery {delivery} was committed with other rows")
+        folder = self.new_folder(now.number + 1)
         rows.write.parquet(f"{self.root}/{folder}")
         seen = fingerprint(self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}"))
-        known = now.facts.get(delivery)
         twin = next((d for d, f in now.facts.items() if dict(f) == seen and seen["rows"]), None)
-        if known is not None or twin is not None:
+        if twin is not None:
             self._fs.delete(self._path(f"{self.root}/{folder}"), True)
-            if known is not None and dict(known) == seen:
-                return False
-            raise ValueError(f"delivery {delivery} " + ("was committed with other rows" if known is not None else f"has the rows of delivery {twin}"))
+            raise ValueError(f"delivery {delivery} has the rows of delivery {twin}")
         self.publish(
             replace(now, number=now.number + 1, schema=now.schema or rows.schema.json(), folders={**now.folders, delivery: folder}, facts={**now.facts, delivery: seen})
         )
