@@ -10,6 +10,8 @@ from sharetide.functions import dates, numbers, text
 from sharetide.operators import cleaning as ops
 from sharetide.operators import quality
 from sharetide.registry import query, sql
+from sharetide.schemas import MEASURES, SERIES_KEYS
+from sharetide.session import stage
 from sharetide.sources import star_tables as st
 
 S = Settings(epoch_year=st.EPOCH_YEAR)
@@ -156,7 +158,8 @@ def _(spark, sf):
 
 @query("dedupe_first", sql.over_feed("SELECT raw_id, is_duplicate FROM marked", "marked"))
 def _(spark, sf):
-    return ops.mark_duplicates(derived(spark, sf), materialise=True).select("raw_id", "is_duplicate")
+    keyed = stage(derived(spark, sf).select("raw_id", *ops.DUPLICATE_KEYS), "derived-keys")  # read twice, parsed once
+    return ops.mark_duplicates(keyed, materialise=True).select("raw_id", "is_duplicate")
 
 
 _PROCESSED = (
@@ -189,8 +192,8 @@ def _(spark, sf):
     sql.over_feed("SELECT raw_id, clean_trx, clean_nrx, clean_units FROM cleaned", "cleaned"),
 )
 def _(spark, sf):
-    valid = ops.valid_rows(processed(spark, sf))
-    return ops.impute_group_median(valid).select("raw_id", "clean_trx", "clean_nrx", "clean_units")
+    valid = ops.valid_rows(processed(spark, sf)).select("raw_id", *SERIES_KEYS, *MEASURES)
+    return ops.impute_group_median(stage(valid, "valid")).select("raw_id", *MEASURES)
 
 
 @query(
