@@ -188,7 +188,7 @@ def update_gold(
         known, known_gold = totals.rows(base), gold.rows(gold.before(STREAM, batch_id))
         facts, newest = to_facts(batch), {}
         if delivery:
-            facts = stage(facts, "batch-facts")
+            facts = stage(facts.select(*dict.fromkeys([*BRAND_KEYS, "clean_therapeutic_area", *MEASURES, delivery])), "batch-facts")
             newest = _newest_deliveries(facts, delivery)
             facts = _one_delivery(facts, delivery, newest, known, base)
         if known is None:
@@ -241,8 +241,8 @@ def replace_delivered_weeks(stream: DataFrame, root: str, name: str = "facts", d
     def step(batch: DataFrame, batch_id: int) -> None:
         store = WeekStore(batch.sparkSession, f"{root}/{name}")
         base = store.before(STREAM, batch_id)
-        if delivery:
-            batch = stage(_with_stored_parts(batch, store.rows(base), delivery), "week-parts")
+        if delivery:  # the batch is read twice, and its joins are worked out once; the rows themselves are written by the store alone
+            batch = _with_stored_parts(stage(batch, "batch-rows"), store.rows(base), delivery)
         elif not whole:
             batch = stage(batch, "weeks")
             there = {r[0] for r in batch.select(F.coalesce("year_week", F.lit(NO_WEEK))).distinct().collect()} & base.folders.keys()
