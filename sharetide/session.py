@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A generated method above the JVM's 8000-byte limit is never compiled to machine code.  Spark
 # then does better with one method per expression, which this threshold makes it choose.
-SQL_DEFAULTS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# A join too large for a broadcast hashes its smaller side where each of that side's shuffled partitions, whose size is
+# measured by then, is under this limit; wide rows are then not sorted.
+SQL_DEFAULTS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
 
 
 def apply_sql_defaults(spark: SparkSession) -> SparkSession:
@@ -88,6 +90,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+# A partitioned write of a few values keeps a file open for each and leaves the rows unsorted; more values are sorted as ever.
+FEW_WRITERS = ("spark.sql.maxConcurrentOutputFileWriters", "4")
+
+
 def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -99,7 +105,8 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with setting(spark, *FEW_WRITERS):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sharetide import registry
 from sharetide.functions.dates import next_year_weeks
-from sharetide.session import fresh_path
+from sharetide.operators.cleaning import mark_duplicates
+from sharetide.session import apply_sql_defaults, fresh_path, setting
 from sharetide.sources import feeds, sinks
 from sharetide.sources.versioned import DeliveryStore
 from sharetide.streaming import feed_stream as fs
@@ -113,3 +114,14 @@ def test_a_batch_for_gold_keeps_only_what_its_totals_need(spark, monkeypatch):
     monkeypatch.setattr(fs, "stage", lambda df, label, *a: kept.update({label: df.columns}) or stage(df, label, *a))
     fs.update_gold(fs.stream_feed(spark, write_files([part]), part.schema, "parquet"), fresh_path(spark, "narrow"), lambda b: b, delivery="delivery").awaitTermination()
     assert "note" not in kept["batch-facts"] and "delivery" in kept["batch-facts"]
+
+
+def test_joins_beyond_a_broadcast_hash_their_smaller_side(spark):
+    """Duplicates of wide rows are marked without sorting the rows."""
+    rows = apply_sql_defaults(spark).range(20_000).selectExpr("id AS raw_id", "CAST(id % 5000 AS string) AS k", "repeat('x', 50) AS wide")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        marked = mark_duplicates(rows, keys=["k"], materialise=True)
+        assert marked.filter("is_duplicate").count() == 15_000
+        marked.collect()
+        final = marked._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in final.split("Initial Plan")[0]
