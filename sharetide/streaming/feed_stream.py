@@ -88,16 +88,25 @@ def read_output(spark: SparkSession, root: str, name: str, schema: T.StructType
 
 # Keyed state on disk, so it may outgrow the memory; holds for queries started while it is set.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+# Counting the keys of the state would look each one up again at its writing.
+NO_KEY_COUNT = ("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+# A stateful stream is planned without measured sizes: sides whose partitions are estimated below the broadcast limit are hashed, not sorted.
+HASHED_JOINS = ("spark.sql.join.preferSortMergeJoin", "false")
 
 
 def first_arrivals(stream: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """A running aggregate by key (null keys are equal): the row that came first, and when the key came last.
+    """A running aggregate by key (null keys are equal): when the key came first and last, and its least row.
 
-    A row comes with its micro-batch, whose time Spark logs, so a replay gives it the same; within one the least
-    ``order`` is first.  Only keys and ``carried`` are kept as state, combined before they are shuffled.
+    A row comes with its micro-batch, whose time Spark logs, so a replay gives it the same.  Where a key came first and last in
+    one batch, all its rows are of that batch and the least by ``order`` is the first; a null is least.  Only keys and ``carried``
+    are kept as state, combined before they are shuffled; a single column beside the keys is compared as it is, so rows are
+    hashed and not sorted.
     """
-    rows = stream.withColumn("_arrival", F.current_timestamp())
-    return rows.groupBy(*keys).agg(F.min(F.struct("_arrival", *order, *carried)).alias("_first"), F.max("_arrival").alias("_last"))
+    rows, kept = stream.withColumn("_arrival", F.current_timestamp()), [*order, *carried]
+    least = F.col(kept[0]) if len(kept) == 1 else F.struct(*kept)
+    return rows.groupBy(*keys).agg(
+        F.min("_arrival").alias("_first"), F.max("_arrival").alias("_last"), F.min(least).alias("_least"), F.max(least.isNull()).alias("_absent")
+    )
 
 
 def dedupe_stream(
@@ -118,11 +127,13 @@ def dedupe_stream(
     carried = [c for c in columns if c not in (*keys, *order)]
     seen = first_arrivals(stream, keys, order, carried)
 
+    least = F.when(~F.col("_absent"), F.col("_least"))
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        new = batch.filter(F.col("_first")["_arrival"] == F.col("_last"))
-        write_batch(new.select(*[c if c in keys else F.col("_first")[c].alias(c) for c in columns]), root, "rows", batch_id)
+        new = batch.filter(F.col("_first") == F.col("_last"))
+        write_batch(new.select(*[c if c in keys else (least if [c] == [*order, *carried] else F.col("_least")[c]).alias(c) for c in columns]), root, "rows", batch_id)
 
-    with setting(spark, *ROCKSDB):
+    with setting(spark, *ROCKSDB), setting(spark, *NO_KEY_COUNT), setting(spark, *HASHED_JOINS):
         return (
             seen.writeStream.outputMode("update")
             .foreachBatch(step)

@@ -470,3 +470,13 @@ def test_layers_are_checked_when_they_are_written(spark):
     with pytest.raises(Exception, match="clean_brand is null"):
         weekly.write_layers(holes, fresh_path(spark, "holes"))
     assert weekly.write_layers(run, fresh_path(spark, "good"))["market_share_gold"].count() == 4
+
+
+def test_keys_of_a_stream_are_hashed_and_a_null_order_comes_first(spark):
+    rows = spark.createDataFrame([(5, "a"), (None, "a"), (7, "b"), (3, "b"), (4, None), (2, None)], "raw_id bigint, k string")
+    seen = fs.first_arrivals(rows, ["k"], ["raw_id"], [])
+    assert "SortAggregate" not in seen._jdf.queryExecution().executedPlan().toString()
+    root, path = fresh_path(spark, "first"), fresh_path(spark, "first-in")
+    rows.write.parquet(path)
+    fs.dedupe_stream(fs.stream_feed(spark, path, rows.schema, "parquet"), root, ["k"]).awaitTermination()
+    assert {r.k: r.raw_id for r in fs.read_output(spark, root, "rows").collect()} == {"a": None, "b": 3, None: 2}
