@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sharetide.session import stage
+from sharetide.session import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
-        before = mark
-        now = stage(star(star(now, True), False), "edges")
+        before, last = mark, now
+        now = stage(star(star(last, True), False), "edges")
+        discard(last)
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

@@ -5,8 +5,9 @@ so pivots alone would send every document to every region.  Documents are theref
 bundles outside which no link can lie, then each bundle is joined in the metric space:
 
 1. Documents with equal sets are one class.  Each class deals its shingles into more parts than two
-   linked sets can differ in, so linked sets agree in at least one part; parts that are not empty are keys.  A set
-   with so few full parts that an empty one may be all that agrees has its smallest hashes as keys too.
+   linked sets can differ in, so linked sets agree in at least one part; parts with two shingles or more are keys, as unrelated
+   texts have single shingles in common the oftener, the more texts there are.  A set with so few such parts that a
+   lighter one may be all that agrees has its smallest hashes as keys too.
 2. Classes joined by keys, directly or not, make up a bundle.  In bundles too large for one task the classes of
    a key are joined only if sketches, whose distance is never above that of the sets, allow a link.
 3. A bundle's pivots create Voronoi regions.  A class belongs to the region of its nearest pivot and is
@@ -30,7 +31,7 @@ from sharetide.llm.common import free_shuffles, op_query, table
 from sharetide.llm.graph import components
 from sharetide.llm.seeds import first_words, member_filter
 from sharetide.llm.textmath import Words, inner, mix, pieces, ragged, windows_of, words_of
-from sharetide.session import stage
+from sharetide.session import discard, stage
 
 REGION = 6000  # classes joined in one task; larger bundles are dealt out by pivots
 LEAF, PIVOTS = 64, 8
@@ -80,8 +81,8 @@ def keys_of(value: np.ndarray, first: np.ndarray, percent: int, deal: int = 5, s
     """Keys and the sets they belong to.  Linked sets have a key in common unless they are equal.
 
     Linked sets differ in at most ``differ`` shingles, so in as many of more parts; another part is equal in both and
-    a key, unless it is empty.  Only if both have ``differ`` full parts or fewer can all equal parts be empty: such
-    sets have their smallest hashes as keys too, of which linked sets share one.
+    a key, if it is heavy: if it has two shingles or more.  Only if both have ``differ`` heavy parts or fewer can all equal
+    parts be light: such sets have their smallest hashes as keys too, of which linked sets share one.
     """
     size = np.diff(first)
     if not len(value):
@@ -96,7 +97,7 @@ def keys_of(value: np.ndarray, first: np.ndarray, percent: int, deal: int = 5, s
         most = borders[np.minimum(level + 1, len(borders) - 1)] - 1  # largest set of this level
         salt = mix(level.astype(np.uint64) + np.uint64(77))
         differ = 2 * most * (100 - percent) // (100 + percent)
-        parts = np.where((differ > 0) & (size > 0), differ + 2 + differ // 16, 0)  # no difference: equal sets, one class
+        parts = np.where((differ > 0) & (size > 0), differ + 2 + differ // 5, 0)  # no difference: equal sets, one class
         cut = parts[owner] > 0
         own = owner[cut]
         offset = np.cumsum(parts) - parts
@@ -104,12 +105,12 @@ def keys_of(value: np.ndarray, first: np.ndarray, percent: int, deal: int = 5, s
         total = np.zeros(int(parts.sum()), np.uint64)
         np.add.at(total, place, mix(value[cut]))
         holder = np.repeat(np.arange(len(size)), parts)
-        full = np.flatnonzero(total)
-        number = (full - offset[holder[full]]).astype(np.uint64)
-        keys.append(mix(total[full] + mix(salt[holder[full]] + number)))
-        owners.append(holder[full])
+        heavy = np.flatnonzero(np.bincount(place, minlength=len(total)) > 1)
+        number = (heavy - offset[holder[heavy]]).astype(np.uint64)
+        keys.append(mix(total[heavy] + mix(salt[holder[heavy]] + number)))
+        owners.append(holder[heavy])
         partner = np.minimum(most, size * 100 // percent)  # largest set that this one can be linked with here
-        few = np.flatnonzero((parts > 0) & (np.bincount(holder[full], minlength=len(size)) <= (size + partner) * (100 - percent) // (100 + percent)))
+        few = np.flatnonzero((parts > 0) & (np.bincount(holder[heavy], minlength=len(size)) <= (size + partner) * (100 - percent) // (100 + percent)))
         length = size[few] - -(-size[few] * percent // 100) + 1
         holder = np.repeat(few, length)
         keys.append(mix(value[ragged(first[few], length)] + mix(salt[holder])))
@@ -266,6 +267,29 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "class bigint, other bigint, n_links bigint")
 
 
+def _key_edges(keys: DataFrame) -> DataFrame:
+    """``a``, ``b``: the classes of each key (rows ``seed, class``), hung on the least of them.  Fewer rows than there are keys' rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # a key may go on in the next batch
+        for b in batches:
+            seed, held = b.column("seed").to_numpy(), b.column("class").to_numpy()
+            if not len(seed):
+                continue
+            at = first_words(seed)
+            least = held[at].copy()
+            if last and last[0] == seed[0]:
+                least[0] = last[1]
+            last = seed[-1], least[-1]
+            low = np.repeat(least, np.diff(np.append(at, len(seed))))
+            apart = held != low
+            if apart.any():
+                pairs = np.unique(np.stack((held[apart], low[apart])), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return keys.repartition("seed").sortWithinPartitions("seed", "class").mapInArrow(run, "a bigint, b bigint")
+
+
 def sketches(value: np.ndarray, first: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of shingles by cell (255 at most), ``width`` cells a set, all in a row; and where each set's begin.
 
@@ -426,11 +450,6 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
         keep = np.concatenate(([True], (found[1:] != found[:-1]) | (held[1:] != held[:-1]))) if len(found) else np.zeros(0, bool)
         yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(held[keep])], ["seed", "class"])
 
-    def shared_key_rows(b, value, first, ids):
-        for r in key_rows(b, value, first, ids):
-            hit = shared(r.column(0).to_numpy().view(np.uint64))
-            yield r.filter(pa.array(hit))
-
     def members(of: DataFrame) -> DataFrame:
         """The classes of ``of`` with their sets; copies of a set that come from other tasks included."""
         candidate = member_filter(of.select(F.col("class").alias("seed")))
@@ -449,12 +468,7 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
 
     classes = stage(_sets(docs, column, words, class_rows, f"{key} {key_type}, n_shingles bigint, class bigint", key), "classes")
     # Keys are dealt out bare: nearly all are met once, so partial aggregates would only be wider rows.
-    by_key = _sets(docs, column, words, key_rows, "seed bigint, class bigint").repartition("seed").groupBy("seed").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
-    by_key = stage(by_key.where("low <> high"), "keys")
-    free_shuffles(docs.sparkSession)
-    shared = member_filter(by_key.where("n > 2").select("seed"))
-    between = _sets(docs, column, words, shared_key_rows, "seed bigint, class bigint").join(by_key.where("n > 2").select("seed", "low"), "seed").select(F.col("class").alias("a"), F.col("low").alias("b"))
-    edges = by_key.select(F.col("high").alias("a"), F.col("low").alias("b")).union(between).distinct()
+    edges = _key_edges(_sets(docs, column, words, key_rows, "seed bigint, class bigint"))
     bundles = stage(components(edges).select(F.col("v").alias("class"), F.col("root").alias("bundle")), "bundles")
     sized = stage(bundles.join(bundles.groupBy("bundle").agg(F.count("*").alias("n")), "bundle"), "sized")
     free_shuffles(docs.sparkSession)
@@ -470,6 +484,7 @@ def join_similar(docs: DataFrame, words: int = 5, percent: int = 80, key: str =
         for rows in parts:
             linked = linked.unionByName(stage(_join_regions(rows, percent), "links"))
             free_shuffles(docs.sparkSession)
+        discard(large)
     counts = linked.groupBy("class").agg(F.sum("n_links").alias("n_links"))
     roots = stage(components(linked.select(F.col("class").alias("a"), F.col("other").alias("b"))), "components")
     rows = classes.join(counts, "class", "left").join(roots.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))

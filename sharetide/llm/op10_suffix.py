@@ -176,18 +176,18 @@ def passages(docs: DataFrame, min_words: int = 50, column: str = "text", rank: s
     return dealt.mapInArrow(compare, "row_key bigint, a int, b int, first_id bigint")
 
 
-def dedup(docs: DataFrame, min_words: int = 50, key: str = "doc_id", column: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = 50, key: str = "doc_id", column: str = "text", merge: bool = False) -> DataFrame:
     """``docs`` with repeats cut out of its text, and ``n_words``, ``n_removed``, ``spans``, ``first_ids``.
 
     ``key`` must be an integer; null keys come last in the order of copies.  Null texts stay null.  Rows equal in key
     and text count as one and share their fate.  Texts without a repeat stay as they are, byte for byte; columns
-    named like the added ones are replaced.  An empty table gives an empty table.
+    named like the added ones are replaced.  An empty table gives an empty table.  ``merge`` as in :func:`without`.
     """
     added = ("row_key", "rank", "n_words", "n_removed", "spans", "first_ids")
     rows = keyed(docs.drop(*added), key, column).withColumn("rank", F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)))
     found = stage(passages(rows, min_words, column), "passages")
     spans = stage(merged_spans(found).join(found.groupBy("row_key").agg(F.sort_array(F.collect_set("first_id")).alias("first_ids")), "row_key"), "spans")
-    return without(rows.drop("rank"), spans, column, as_words=False, keep=("spans", "first_ids")).drop("row_key")
+    return without(rows.drop("rank"), spans, column, as_words=False, keep=("spans", "first_ids"), merge=merge).drop("row_key")
 
 
 @op_query("op10_suffix_array")

@@ -3,6 +3,7 @@
 import math
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,34 @@ def test_embeddings_of_odd_rows(llm):
     df = llm.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("c", F.lit(1))
     assert near(df) == brute.cosine(rows, 0.9)
     assert op05_embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_chance_shingles_are_no_keys_and_linked_sets_share_one():
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+
+    def keys_in_common(a, b):
+        sets = [np.unique(a), np.unique(b)]
+        key, owner = op02_jaccard.keys_of(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), 80)
+        return set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+
+    chance = linked = 0
+    for _ in range(60):
+        some = fresh(300)
+        chance += bool(keys_in_common(np.concatenate((some[:20], fresh(280))), some))  # unrelated but for some shingles
+        for size in (6, 12, 45, 300):  # as far apart as linked sets can be
+            own = fresh(size)
+            away = size // 9 * 2
+            near = np.concatenate((own[: size - away // 2], fresh(away // 2)))
+            both = len(np.intersect1d(own, near))
+            linked += 100 * both >= 80 * (len(own) + len(near) - both) and not keys_in_common(own, near)
+    assert chance <= 3 and not linked
+
+
+def test_key_edges_hang_classes_on_the_least_across_batches(llm):
+    keys = llm.range(9000).selectExpr("CASE WHEN id < 5000 THEN 1 ELSE id DIV 3 END AS seed", "id AS class")
+    found = {(r.a, r.b) for r in op02_jaccard._key_edges(keys).collect()}
+    least = {}
+    for i in range(9000):
+        least.setdefault(1 if i < 5000 else i // 3, i)
+    assert found == {(i, low) for i in range(9000) if (low := least[1 if i < 5000 else i // 3]) != i}

@@ -5,7 +5,7 @@ import corpus_pipeline as pipeline
 from small import SMALL
 from pyspark.sql import functions as F
 
-from sharetide.session import stage
+from sharetide.session import path_exists, stage
 
 
 def test_stages_on_the_smallest_tables(llm, docs):
@@ -42,3 +42,21 @@ def test_stages_with_odd_rows(llm, docs):
     empty = docs.limit(0)
     for _, step in pipeline.STAGES:
         assert step(llm, empty, SMALL).count() == 0
+
+
+def test_texts_meet_decisions_in_one_way_at_any_size(llm, docs):
+    """Tables far below the broadcast limit are joined as large ones are, and texts of a stage are shuffled once."""
+    for step in (pipeline.quality, pipeline.near_duplicates, pipeline.repeated_passages):
+        plan = step(llm, docs, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, step
+
+
+def test_work_tables_with_sets_are_gone_afterwards(llm, docs, monkeypatch):
+    from sharetide.llm import op02_jaccard
+
+    made = {}
+    real = stage
+    monkeypatch.setattr(op02_jaccard, "stage", lambda df, label, *by: made.setdefault(label, real(df, label, *by)))
+    op02_jaccard.join_similar(docs, 5, 80, limit=1).count()
+    path = made["large"].inputFiles()[0] if "large" in made else None
+    assert path and not path_exists(llm, path)
