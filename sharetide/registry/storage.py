@@ -173,7 +173,7 @@ _COUNTS = (
 
 
 def _run(spark, sf):
-    return weekly_run(feed(spark, sf), s=S, aliases=st.FEED_ALIASES, staged=True)
+    return weekly_run(st.feed_parts(spark, sf), s=S, aliases=st.FEED_ALIASES, staged=True)
 
 
 @query("write_layers", sql.cleaned_analytics(_COUNTS, "alerts"))

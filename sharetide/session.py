@@ -7,9 +7,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # A generated method above the JVM's 8000-byte limit is never compiled to machine code.  Spark
@@ -92,6 +94,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 # A partitioned write of a few values keeps a file open for each and leaves the rows unsorted; more values are sorted as ever.
 FEW_WRITERS = ("spark.sql.maxConcurrentOutputFileWriters", "4")
+# What a write has shuffled is removed when it ends, and not when the driver happens to collect its garbage.
+FREED_SHUFFLES = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
@@ -105,16 +109,77 @@ def stage(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with setting(spark, *FEW_WRITERS):
+    with setting(spark, *FEW_WRITERS), setting(spark, *FREED_SHUFFLES):
         writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+# The rows of a large input are worked off in slices, so that shuffles and work tables hold one slice at a time: one for so
+# many bytes of the files that are read, and at most so many.  Input that is not read from files has no known size and counts as none.
+SLICE_BYTES, MOST_SLICES = 32 << 20, 16
+SLICE = "_slice"
+
+
+def slice_count(*parts: DataFrame) -> int:
+    """How many slices the files behind ``parts``, which are parts of one table, call for."""
+    sizes = []
+    for leaves in (p._jdf.queryExecution().optimizedPlan().collectLeaves() for p in parts):
+        known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        sizes.append(sum(n for n in known if n < 1 << 62))
+    return max(1, min(MOST_SLICES, -(-max(sizes) // SLICE_BYTES)))
+
+
+def slice_of(slices: int, *keys: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+
+
+class SlicedTable:
+    """A staged table of which every slice has a folder of its own, so that each can be read and removed alone."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.schema, self.known = spark, fresh_path(spark, label), None, []
+
+    def _write(self, df: DataFrame, path: str, partition_by: Sequence[str], writers: int) -> None:
+        self.schema = self.schema or df.drop(SLICE).schema
+        writer = df.write.mode("append").option("compression", "zstd")
+        with setting(self.spark, FEW_WRITERS[0], str(writers)), setting(self.spark, *FREED_SHUFFLES):
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+    def deal(self, df: DataFrame, slices: int, *keys: Column | str) -> None:
+        """Add rows, dealt into slices by ``keys``."""
+        self._write(df.withColumn(SLICE, slice_of(slices, *keys)), self.path, [SLICE], slices)
+        self.known = [i for i in range(slices) if path_exists(self.spark, self._folder(i))]
+
+    def add(self, df: DataFrame, *partition_by: str) -> None:
+        """Add a slice."""
+        self._write(df, self._folder(len(self.known)), partition_by, int(FEW_WRITERS[1]))
+        self.known.append(len(self.known))
+
+    def _folder(self, i: int) -> str:
+        return f"{self.path}/{SLICE}={i}"
+
+    def _table(self, path: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(path).select(*self.schema.names)
+
+    def slices(self) -> list[DataFrame]:
+        """The slices that have rows; of a table without any, one that is empty."""
+        return [self._table(self._folder(i)) for i in self.known] or [self.read()]
+
+    def read(self) -> DataFrame:
+        return self._table(self.path)
+
+
+def slices_read(df: DataFrame) -> list[DataFrame]:
+    """A table read from a :class:`SlicedTable`, slice by slice; any other table as its only slice."""
+    folders = sorted({m[0] for f in df.inputFiles() if (m := re.match(rf".*/{SLICE}=\d+(?=/)", f))})
+    return [df.sparkSession.read.schema(df.schema).parquet(f).select(*df.columns) for f in folders] or [df]
+
+
 def discard(df: DataFrame) -> None:
-    """Remove what :func:`stage` wrote of ``df``, a table that it returned and that nothing reads any more."""
+    """Remove what was staged of ``df``, a table that nothing reads any more; of a sliced table the slices that ``df`` reads."""
     where, files = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path, df.inputFiles()
-    mark = shared_folder(df.sparkSession).rsplit("/", 1)[1] + "/"
-    for folder in {f[: f.index("/", f.index(mark) + len(mark))] for f in files if mark in f}:
+    mark = re.escape(shared_folder(df.sparkSession).rsplit("/", 1)[1])
+    for folder in {m[0] for f in files if (m := re.match(rf".*?{mark}/[^/]+(/{SLICE}=\d+)?(?=/)", f))}:
         path = where(folder)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sharetide.functions.dates import iso_week, iso_year, running_week, year_week
-from sharetide.session import spread
+from sharetide.session import slice_count, slice_of, spread
 
 EPOCH_YEAR = 1995
 FEED_ALIASES = {"middleeast": "MIDDLE EAST"}
@@ -40,8 +40,8 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*used)
 
 
-def _region_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, r_name).  Only nation and region, of fixed size, are hinted as broadcast."""
+def _region_of_order(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """(o_orderkey, r_name) of all orders or of those given.  Only nation and region, of fixed size, are hinted as broadcast."""
     places = (
         table(spark, sf_dir, "nation")
         .join(F.broadcast(table(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey"))
@@ -52,19 +52,19 @@ def _region_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(places), F.expr("c_nationkey = n_nationkey"))
         .select("c_custkey", "r_name")
     )
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
     return (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey")
+        orders.select("o_orderkey", "o_custkey")
         .join(customers, F.expr("o_custkey = c_custkey"))
         .select("o_orderkey", "r_name")
     )
 
 
-def attach_dimensions(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Join line items (batch or stream) to product and region."""
+def attach_dimensions(lines: DataFrame, spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Join line items (batch or stream) to product and region; ``orders`` may be just those of the line items."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     return lines.join(parts, F.expr("l_partkey = p_partkey")).join(
-        _region_of_order(spark, sf_dir), F.expr("l_orderkey = o_orderkey")
+        _region_of_order(spark, sf_dir, orders), F.expr("l_orderkey = o_orderkey")
     )
 
 
@@ -179,6 +179,24 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_of(spread(attach_dimensions(line_items(spark, sf_dir), spark, sf_dir), "l_orderkey"))
 
 
+# The line items are shuffled twice on their way into the feed; so many parts at most, as each part reads the tables again.
+MOST_PARTS = 4
+
+
+def feed_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The feed in parts, dealt by order, so that the line items of one part are shuffled at a time; a small feed is one part."""
+    lines, orders = line_items(spark, sf_dir), table(spark, sf_dir, "orders")
+    n = min(MOST_PARTS, slice_count(lines))
+    if n == 1:
+        return [feed(spark, sf_dir)]
+
+    def part(i: int) -> DataFrame:
+        own = lines.filter(slice_of(n, "l_orderkey") == i)
+        return feed_of(spread(attach_dimensions(own, spark, sf_dir, orders.filter(slice_of(n, "o_orderkey") == i)), "l_orderkey"))
+
+    return [part(i) for i in range(n)]
+
+
 def event_facts(events: DataFrame) -> DataFrame:
     """Site events as facts: region from the user, brand from the event type."""
     return events.select(

@@ -1,15 +1,16 @@
 """Work is done once: no second parse, no second join, no file that one task must read whole."""
 
 import os
+import time
 
 import pytest
 from paths import SF_SMALL
 from pyspark.sql import functions as F
 
-from sharetide import registry
+from sharetide import registry, session
 from sharetide.functions.dates import next_year_weeks
 from sharetide.operators.cleaning import mark_duplicates
-from sharetide.session import apply_sql_defaults, fresh_path, setting
+from sharetide.session import apply_sql_defaults, fresh_path, setting, stage
 from sharetide.sources import feeds, sinks
 from sharetide.sources.versioned import DeliveryStore
 from sharetide.streaming import feed_stream as fs
@@ -125,3 +126,34 @@ def test_joins_beyond_a_broadcast_hash_their_smaller_side(spark):
         marked.collect()
         final = marked._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in final.split("Initial Plan")[0]
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept():
+        return {str(b) for b in iterate(local.getAllBlocks()) if str(b).startswith("shuffle_")}
+
+    def iterate(blocks):
+        return [blocks.apply(i) for i in range(blocks.size())]
+
+    before = kept()
+    staged = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "summed")
+    until = time.time() + 10
+    while kept() - before and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+    assert not kept() - before
+    assert staged.count() == 7
+
+
+def test_a_feed_in_parts_is_the_feed(spark, monkeypatch):
+    from sharetide.sources import star_tables as st
+
+    assert len(st.feed_parts(spark, SF_SMALL)) == 1
+    monkeypatch.setattr(session, "SLICE_BYTES", 20_000)
+    parts = st.feed_parts(spark, SF_SMALL)
+    assert len(parts) == 4 and all(p.head(1) for p in parts)
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    same(union, st.feed(spark, SF_SMALL))
