@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +22,11 @@ from sharetide.operators.quality import audit_counts, dq_report_long, dq_summary
 from sharetide.operators.share import market_share, share_sum_check
 from sharetide.operators.shift import share_shifts
 from sharetide.schemas import enforced
-from sharetide.session import SlicedTable, stage
+from sharetide.session import SlicedTable, discard, slices_read, stage
 from sharetide.sources.feeds import restandardise, table_or_none
 from sharetide.sources.sinks import (
     ALERT_TABLE,
+    CLEAN_ROWS,
     CLEAN_TABLE,
     GOLD_TABLE,
     QUARANTINE_TABLE,
@@ -129,19 +130,41 @@ def layers(run: WeeklyRun) -> dict[str, DataFrame]:
     }
 
 
-def write_layers(run: WeeklyRun, root: str) -> dict[str, DataFrame]:
+def layer_pieces(run: WeeklyRun, release: bool = False) -> Iterator[tuple[str, DataFrame]]:
+    """The five stored tables by name, to be written one after the other; a name may come again with more rows.
+
+    With ``release`` what is written takes the place of the run's staged rows: they are removed slice by slice, each when
+    the next piece is asked for, and the run's own tables of rows can't be read afterwards.
+    """
+    if not release:
+        yield from layers(run).items()
+        return
+    tables = layers(run)
+    for name in (CLEAN_TABLE, GOLD_TABLE, ALERT_TABLE):
+        yield name, tables[name]
+    if set(run.cleaned.inputFiles()).isdisjoint(run.processed.inputFiles()):
+        discard(run.cleaned)
+    for rows in slices_read(run.processed):
+        yield RAW_TABLE, rows.select(*run.raw.columns)
+        yield QUARANTINE_TABLE, quarantine_rows(rows)
+        discard(rows)
+
+
+def write_layers(run: WeeklyRun, root: str, release: bool = False) -> dict[str, DataFrame]:
     """Replace the five stored tables under ``root`` and return them as stored.
 
     A layer with a wrong type is refused before anything is written, and a null key stops its writing.
     Quarantined rows may lack a week, and the raw feed has none, so only clean, gold and alerts
-    are partitioned by week.
+    are partitioned by week.  For ``release`` see :func:`layer_pieces`.
     """
     spark = run.raw.sparkSession
-    stored = {}
-    for name, df in {n: enforced(df, n) for n, df in layers(run).items()}.items():
-        write_table(df, f"{root}/{name}", weekly=name in (CLEAN_TABLE, GOLD_TABLE, ALERT_TABLE))
-        stored[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}").select(*df.columns)
-    return stored
+    tables, begun = {n: enforced(df, n) for n, df in layers(run).items()}, set()
+    for name, df in layer_pieces(run, release):
+        weekly = name in (CLEAN_TABLE, GOLD_TABLE, ALERT_TABLE)
+        mode, rows = "append" if name in begun else "overwrite", CLEAN_ROWS if name == CLEAN_TABLE else None
+        write_table(enforced(df, name), f"{root}/{name}", weekly, mode, rows)
+        begun.add(name)
+    return {n: spark.read.schema(df.schema).parquet(f"{root}/{n}").select(*df.columns) for n, df in tables.items()}
 
 
 def load_or_compute(

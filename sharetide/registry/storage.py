@@ -178,7 +178,7 @@ def _run(spark, sf):
 
 @query("write_layers", sql.cleaned_analytics(_COUNTS, "alerts"))
 def _(spark, sf):
-    stored = write_layers(_run(spark, sf), fresh_path(spark, "layers"))
+    stored = write_layers(_run(spark, sf), fresh_path(spark, "layers"), release=True)
     counted = None
     for name, df in stored.items():
         one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")

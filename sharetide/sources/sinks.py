@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sharetide.functions.numbers import flag
 from sharetide.schemas import CLEAN_STORE, GOLD_KEYS, RAW_STORE, conform
+from sharetide.session import FREED_SHUFFLES, setting
 
 RAW_TABLE = "prescriptions_raw"
 CLEAN_TABLE = "prescriptions_clean"
@@ -23,12 +24,38 @@ def by_week(df: DataFrame, week: str = "year_week") -> DataFrame:
     return df.hint("rebalance", week)
 
 
-def write_table(df: DataFrame, path: str, weekly: bool = True) -> None:
-    """Replace the table, partitioned by week unless told otherwise."""
-    if weekly:
-        by_week(df).write.mode("overwrite").partitionBy("year_week").parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+# Stored tables hold long texts, such as the payload of a rejected row; this level takes no longer to write than the default.
+STORED_AS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+# Clean rows are brought together by week about so many at a time, as all of them would be shuffled at once else.
+CLEAN_ROWS = 8_000_000
+
+
+def _groups_of_weeks(df: DataFrame, rows: int, week: str = "year_week") -> list[list[str | None]]:
+    """The weeks of the table in order, in groups of at most ``rows`` rows or of one week."""
+    groups, held = [], rows
+    for label, n in df.groupBy(week).count().orderBy(week).collect():
+        if held + n > rows:
+            groups.append([])
+            held = 0
+        groups[-1].append(label)
+        held += n
+    return groups
+
+
+def write_table(df: DataFrame, path: str, weekly: bool = True, mode: str = "overwrite", rows: int | None = None) -> None:
+    """Replace the table, partitioned by week unless told otherwise; with the mode ``append`` add to it.
+
+    With ``rows`` a table by week is written some weeks at a time, about so many rows; the table is then read as often, so
+    it should be a staged one.
+    """
+    parts = [df]
+    if weekly and rows and len(groups := _groups_of_weeks(df, rows)) > 1:
+        week = F.col("year_week")
+        parts = [df.filter(week.isin([w for w in g if w is not None]) | (week.isNull() if None in g else F.lit(False))) for g in groups]
+    with setting(df.sparkSession, *FREED_SHUFFLES):
+        for n, part in enumerate(parts):
+            writer = by_week(part).write.partitionBy("year_week") if weekly else part.write
+            writer.mode("append" if n else mode).options(**STORED_AS).parquet(path)
 
 
 # A file of CSV whose fields may hold line breaks can't be split for reading: it has at most so many rows.

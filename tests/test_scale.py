@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from sharetide import registry, session
 from sharetide.functions.dates import next_year_weeks
 from sharetide.operators.cleaning import mark_duplicates
-from sharetide.session import apply_sql_defaults, fresh_path, setting, stage
+from sharetide.plans import weekly
+from sharetide.session import apply_sql_defaults, fresh_path, setting, shared_folder, slices_read, stage
 from sharetide.sources import feeds, sinks
 from sharetide.sources.versioned import DeliveryStore
 from sharetide.streaming import feed_stream as fs
+from test_cleaning import feed
 from test_storage import make_facts, same, write_files
 
 registry.load_all()
@@ -128,6 +130,13 @@ def test_joins_beyond_a_broadcast_hash_their_smaller_side(spark):
     assert "ShuffledHashJoin" in final.split("Initial Plan")[0]
 
 
+WEEKS = [{"product": f"P{i}", "date": f"2025-0{1 + i % 4}-{6 + i % 7:02d}", "week_number": None, "brand": "nan" if i % 6 == 5 else f"B{i % 3}", "trx": None if i % 5 == 0 else str(i)} for i in range(40)]
+
+
+def folders(path):
+    return sorted(os.listdir(path.removeprefix("file:"))) if os.path.exists(path.removeprefix("file:")) else []
+
+
 def test_a_write_leaves_no_shuffle_files(spark):
     local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
@@ -146,6 +155,53 @@ def test_a_write_leaves_no_shuffle_files(spark):
     assert staged.count() == 7
 
 
+@pytest.fixture(scope="module")
+def weeks_feed(spark):
+    return feed(spark, *WEEKS, *WEEKS[:15], {"region": None, "brand": None, "date": "x"})
+
+
+@pytest.fixture(scope="module")
+def whole(spark, weeks_feed):
+    return weekly.weekly_run(weeks_feed, staged=True, slices=1)
+
+
+def plain(table):
+    return table.select(*[c for c, t in table.dtypes if "array" not in t])
+
+
+def gone(paths):
+    return paths and not [f for f in paths if os.path.exists(f.removeprefix("file://"))]
+
+
+def test_layers_of_a_run_in_slices_and_parts_take_the_place_of_its_work_tables(spark, weeks_feed, whole):
+    before = set(folders(shared_folder(spark)))
+    run = weekly.weekly_run([weeks_feed.filter(f"raw_id % 2 = {i}") for i in range(2)], staged=True, slices=3)
+    assert whole.processed.filter("is_duplicate").count() == 15 and len(slices_read(run.processed)) > 1
+    for name in ("processed", "audit", "gold"):
+        same(plain(getattr(whole, name)), plain(getattr(run, name)))
+    work = [f for f in set(folders(shared_folder(spark))) - before if f.startswith(("derived", "repeated-keys"))]
+    assert not [f for name in work for f in folders(f"{shared_folder(spark)}/{name}") if f.startswith(("_slice", "part"))]
+    paths = [f for t in (run.processed, run.cleaned) for f in t.inputFiles()]
+    stored = weekly.write_layers(run, fresh_path(spark, "released"), release=True)
+    for name, table in weekly.layers(whole).items():
+        same(plain(table), plain(stored[name]))
+    assert gone(paths)
+
+
+def test_an_empty_feed_in_slices(spark, weeks_feed):
+    run = weekly.weekly_run(weeks_feed.where("false"), staged=True, slices=3)
+    stored = weekly.write_layers(run, fresh_path(spark, "nothing"), release=True)
+    assert not any(df.count() for df in stored.values())
+
+
+def test_weeks_are_written_some_at_a_time(spark):
+    rows = make_facts(spark, [1, 2, 3]).unionByName(make_facts(spark, [4]).withColumn("year_week", F.lit(None).cast("string")))
+    for n in (7, 1000):
+        sinks.write_table(rows, path := fresh_path(spark, "weeks"), rows=n)
+        same(spark.read.schema(rows.schema).parquet(path), rows)
+    assert sinks._groups_of_weeks(rows, 12) == [[None, "2024-W01"], ["2024-W02", "2024-W03"]]
+
+
 def test_a_feed_in_parts_is_the_feed(spark, monkeypatch):
     from sharetide.sources import star_tables as st
 
