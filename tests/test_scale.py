@@ -188,6 +188,16 @@ def test_layers_of_a_run_in_slices_and_parts_take_the_place_of_its_work_tables(s
     assert gone(paths)
 
 
+def test_an_export_in_pieces_has_all_rows(spark, weeks_feed, whole):
+    run = weekly.weekly_run(weeks_feed, slices=2)
+    paths = run.processed.inputFiles()
+    exported = sinks.export_csv(weekly.layer_pieces(run, release=True), (root := fresh_path(spark, "csv")))
+    assert {r.table_name: r.rows for r in exported.collect()} == {n: t.count() for n, t in weekly.layers(whole).items()}
+    rows = spark.read.schema(whole.raw.schema).option("header", True).csv(f"{root}/{sinks.RAW_TABLE}.csv")
+    same(rows, whole.raw)
+    assert gone(paths)
+
+
 def test_an_empty_feed_in_slices(spark, weeks_feed):
     run = weekly.weekly_run(weeks_feed.where("false"), staged=True, slices=3)
     stored = weekly.write_layers(run, fresh_path(spark, "nothing"), release=True)
